@@ -7,6 +7,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings that the operators expect; sizes are left to the cluster.
 DEFAULTS = {
@@ -67,3 +68,12 @@ def ship_package(spark: SparkSession) -> None:
 
 
 _shipped: set[str] = set()
+
+
+def broadcast_if_small(df: DataFrame, limit_rows: int = 100_000) -> DataFrame:
+    """``df``, with a hint to broadcast it if it has no more than ``limit_rows`` rows; larger ones are joined by shuffling.
+
+    For narrow tables (about 100 bytes a row): the limit keeps a broadcast near 10 MB.
+    """
+    df = checkpointed(df)
+    return F.broadcast(df) if df.limit(limit_rows + 1).count() <= limit_rows else df
