@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from corpusflow.llm.percentiles import ladder, percentiles_by_bisection, percentiles_of_ladders, usable_durations
 from corpusflow.llm.similar import most_similar, similar_pairs
 from corpusflow.session import table
 
@@ -40,3 +43,49 @@ WITH newest AS (
 )
 SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM ranked WHERE n <= 5 AND s >= 0.8
 """
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Providers and days whose median or upper percentile of duration exceeds its limit."""
+    limits = {50: 2500.0, 95: 9000.0, 99: 25000.0}
+    exact = percentiles_by_bisection(usable_durations(table(spark, sf_dir, "query_logs")), ["provider", "log_day"], [50, 95, 99], {50: 30, 95: 30, 99: 300})
+    limit = reduce(lambda c, x: c.when(F.col("pct") == x[0], x[1]), limits.items(), F.when(F.lit(False), 0.0))
+    return exact.where(F.col("value") > limit).select("provider", "log_day", F.col("pct").cast("int").alias("pct"))
+
+
+def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median and upper percentiles of each provider and day, exactly."""
+    exact = percentiles_by_bisection(usable_durations(table(spark, sf_dir, "query_logs")), ["provider", "log_day"], [50, 90, 95, 99])
+    return exact.select("provider", "log_day", F.col("pct").cast("int").alias("pct"), "n_rows", F.col("value").alias("duration_ms"))
+
+
+def p2_day_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles within half a percent of each provider's weeks and of all its days, from the days' ladders."""
+    days = ladder(usable_durations(table(spark, sf_dir, "query_logs")), ["provider", "log_day"])
+    week = F.date_format(F.date_trunc("week", F.to_date("log_day")), "yyyy-MM-dd")
+    sets = days.withColumn("day_set", F.explode(F.array(F.lit("all"), F.concat(F.lit("week of "), week))))
+    merged = percentiles_of_ladders(sets, ["provider", "day_set"], [50, 90, 95, 99])
+    return merged.select("provider", "day_set", F.col("pct").cast("int").alias("pct"), "n_rows", F.col("value").alias("duration_ms"))
+
+
+QUERIES |= {"p2_found": p2_found, "p2_percentiles": p2_percentiles, "p2_day_sets": p2_day_sets}
+
+DURATIONS = """
+WITH kept AS (
+  SELECT DISTINCT id, lower(trim(provider)) AS provider, strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS log_day, duration_ms
+  FROM query_logs
+  WHERE id IS NOT NULL AND provider IS NOT NULL AND duration_ms > 0 AND NOT isnan(duration_ms) AND NOT isinf(duration_ms)
+), ranked AS (
+  SELECT provider, log_day, duration_ms,
+         row_number() OVER (PARTITION BY provider, log_day ORDER BY duration_ms) AS n,
+         count(*) OVER (PARTITION BY provider, log_day) AS n_rows
+  FROM kept
+), wanted AS (SELECT unnest([50, 90, 95, 99]) AS pct
+), hit AS (
+  SELECT provider, log_day, pct::INT AS pct, n_rows, duration_ms FROM ranked, wanted WHERE n = ceil(pct * n_rows / 100.0)
+)"""
+ORACLES["p2_percentiles"] = DURATIONS + " SELECT provider, log_day, pct, n_rows, duration_ms FROM hit"
+ORACLES["p2_found"] = DURATIONS + """
+SELECT provider, log_day, pct FROM hit
+WHERE n_rows >= 30 AND (pct = 50 AND duration_ms > 2500 OR pct = 95 AND duration_ms > 9000 OR pct = 99 AND duration_ms > 25000 AND n_rows >= 300)
+"""
