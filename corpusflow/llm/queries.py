@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.llm.percentiles import ladder, percentiles_by_bisection, percentiles_of_ladders, usable_durations
+from corpusflow.llm.bpe import token_counter
+from corpusflow.llm.token_budget import token_budget
 from corpusflow.llm.similar import most_similar, similar_pairs
 from corpusflow.session import table
 
@@ -89,3 +91,35 @@ ORACLES["p2_found"] = DURATIONS + """
 SELECT provider, log_day, pct FROM hit
 WHERE n_rows >= 30 AND (pct = 50 AND duration_ms > 2500 OR pct = 95 AND duration_ms > 9000 OR pct = 99 AND duration_ms > 25000 AND n_rows >= 300)
 """
+
+#: The vocabulary that sizes are counted in; any file of ranks of this kind will do.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def p3_found(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Slices of 1000 tokens or more by the project's estimate; one without a single exact token can't be one."""
+    budget = token_budget(table(spark, sf_dir, "documents"), table(spark, sf_dir, "chunks"), token_counter(spark, vocabulary))
+    return budget.where("level = 0 and tokens >= 1000 and bpe_tokens > 0").select("ingest_week", "source", "lang", "format")
+
+
+def p3_token_budget(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Exact and estimated tokens of every slice and of all sums over source, language and format."""
+    return token_budget(table(spark, sf_dir, "documents"), table(spark, sf_dir, "chunks"), token_counter(spark, vocabulary))
+
+
+QUERIES |= {"p3_found": p3_found, "p3_token_budget": p3_token_budget}
+
+ORACLES["p3_found"] = """
+WITH counted AS (
+  SELECT chunk_id, document_id, max(greatest(1, length(text) // 4)) AS tokens FROM chunks GROUP BY ALL
+), slices AS (
+  SELECT document_id, strftime(date_trunc('week', ingested_at AT TIME ZONE 'UTC'), '%Y-%m-%d') AS ingest_week,
+         regexp_replace(lower(trim(source)), '[ _]', '-', 'g') AS source, lower(left(trim(lang), 2)) AS lang,
+         ltrim(lower(trim(format)), '.') AS f
+  FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL
+)
+SELECT ingest_week, source, lang,
+       CASE f WHEN 'md' THEN 'markdown' WHEN 'htm' THEN 'html' WHEN 'txt' THEN 'text' ELSE f END AS format
+FROM slices JOIN counted USING (document_id)
+GROUP BY ALL HAVING sum(tokens) >= 1000
+"""
