@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusflow.llm.pairs import answer_defect, broken_pairs
 from corpusflow.llm.percentiles import ladder, percentiles_by_bisection, percentiles_of_ladders, usable_durations
 from corpusflow.llm.bpe import token_counter
 from corpusflow.llm.token_budget import token_budget
@@ -123,3 +124,17 @@ SELECT ingest_week, source, lang,
 FROM slices JOIN counted USING (document_id)
 GROUP BY ALL HAVING sum(tokens) >= 1000
 """
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries with a defective answer, and the defect."""
+    return broken_pairs(table(spark, sf_dir, "query_logs"))
+
+
+def p5_defect_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each provider, how many entries there are and how many have each defect."""
+    logs = table(spark, sf_dir, "query_logs").where(F.col("id").isNotNull()).select("id", F.lower(F.trim("provider")).alias("provider"), answer_defect(F.col("question"), F.col("answer")).alias("defect"))
+    return logs.distinct().groupBy("provider", F.coalesce("defect", F.lit("none")).alias("defect")).agg(F.count("*").alias("n_entries"))
+
+
+QUERIES |= {"p5_found": p5_found, "p5_defect_rates": p5_defect_rates}
