@@ -12,6 +12,7 @@ from corpusflow.llm.pairs import answer_defect, broken_pairs
 from corpusflow.llm.percentiles import ladder, percentiles_by_bisection, percentiles_of_ladders, usable_durations
 from corpusflow.llm.bpe import token_counter
 from corpusflow.llm.token_budget import token_budget
+from corpusflow.llm.quality import text_statistics
 from corpusflow.llm.similar import most_similar, similar_pairs
 from corpusflow.session import table
 
@@ -138,3 +139,16 @@ def p5_defect_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p5_found": p5_found, "p5_defect_rates": p5_defect_rates}
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that aren't prose, and what they are."""
+    return text_statistics(table(spark, sf_dir, "documents")).where("kind <> 'prose'").select("doc_id", "kind").distinct()
+
+
+def p8_text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text statistics and form of every document."""
+    return text_statistics(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"p8_found": p8_found, "p8_text_statistics": p8_text_statistics}
