@@ -12,6 +12,7 @@ from corpusflow.llm.pairs import answer_defect, broken_pairs
 from corpusflow.llm.percentiles import ladder, percentiles_by_bisection, percentiles_of_ladders, usable_durations
 from corpusflow.llm.bpe import token_counter
 from corpusflow.llm.token_budget import token_budget
+from corpusflow.llm.pii import free_texts, mentions, redacted
 from corpusflow.llm.quality import text_statistics
 from corpusflow.llm.similar import most_similar, similar_pairs
 from corpusflow.session import table
@@ -152,3 +153,21 @@ def p8_text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p8_found": p8_found, "p8_text_statistics": p8_text_statistics}
+
+
+def _free_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return free_texts(*(table(spark, sf_dir, t) for t in ("query_logs", "feedback_records", "documents")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every mention of a person's data in questions, comments and documents."""
+    return mentions(_free_texts(spark, sf_dir)).select("table_name", "row_id", "kind", "occurrence")
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same texts with typed placeholders for what was found."""
+    texts = _free_texts(spark, sf_dir)
+    return redacted(texts, mentions(texts))
+
+
+QUERIES |= {"p4_found": p4_found, "p4_redacted": p4_redacted}
