@@ -73,7 +73,7 @@ def percentiles_by_bisection(values: DataFrame, groups: list[str], pcts: list[in
             rows = checkpointed(met.select(*groups, "pct", "value"))
             keys, total = [*groups, "pct"], inside
             met = _within(rows, bounds, keys)
-        cell = F.least(F.lit(CELLS - 1), F.floor((F.col("value") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * CELLS))
+        cell = F.least(F.lit(CELLS - 1), F.floor(F.coalesce(F.try_divide(F.col("value") / 2 - F.col("lo") / 2, F.col("hi") / 2 - F.col("lo") / 2), F.lit(0.0)) * CELLS))
         counts = met.groupBy(*groups, "pct", cell.alias("cell")).agg(F.count("*").alias("here"), F.min("value").alias("cell_lo"), F.max("value").alias("cell_hi"))
         counts = counts.withColumn("upto", F.sum("here").over(Window.partitionBy(*groups, "pct").orderBy("cell")))
         reached = (F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("here") < F.col("rank"))

@@ -236,7 +236,7 @@ def text_statistics(documents: DataFrame) -> DataFrame:
     spread = pieces.repartition("doc_id", "piece_no").drop("piece_no")
     merged = _counted(spread).groupBy("doc_id", "text_key").agg(*[F.sum(c).alias(c) for c in COUNTS])
     sums = _counted(short).unionByName(merged)
-    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     most = F.greatest(*[F.col(f"{k}_chars") for k in KINDS])
     kind = F.when(most == 0, "junk")
     for k in KINDS:

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusflow.llm.mixing import mix_sources, share_report, sized_records
+from corpusflow.llm.packing import fill_report, pack, sized_texts
 from corpusflow.llm.pairs import answer_defect, broken_pairs
 from corpusflow.llm.percentiles import ladder, percentiles_by_bisection, percentiles_of_ladders, usable_durations
 from corpusflow.llm.bpe import token_counter
@@ -171,3 +173,40 @@ def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p4_found": p4_found, "p4_redacted": p4_redacted}
+
+
+def _packed(spark: SparkSession, sf_dir: str, vocabulary: str) -> DataFrame:
+    # Container sizes are a handful by their nature; a table of more than a thousand is refused.
+    sizes = table(spark, sf_dir, "containers").distinct().orderBy("container_name").limit(1001).collect()
+    if len(sizes) > 1000:
+        raise ValueError("more than 1000 container sizes")
+    items = sized_texts(table(spark, sf_dir, "documents"), token_counter(spark, vocabulary))
+    return pack(items, [(r["container_name"], r["capacity_tokens"]) for r in sizes])
+
+
+def p6_packed(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """The container of each text, or of each piece of a text above the capacity, for each container size."""
+    return _packed(spark, sf_dir, vocabulary)
+
+
+def p6_fill(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """How full the containers of each size are."""
+    return fill_report(_packed(spark, sf_dir, vocabulary), table(spark, sf_dir, "containers"))
+
+
+def _mixed(spark: SparkSession, sf_dir: str, vocabulary: str) -> tuple[DataFrame, DataFrame]:
+    records = sized_records(table(spark, sf_dir, "documents"), token_counter(spark, vocabulary))
+    return mix_sources(records, table(spark, sf_dir, "mix_targets"))
+
+
+def p7_mixed(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """How often each document is used in each mix."""
+    return _mixed(spark, sf_dir, vocabulary)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Target and reached share of each source in each mix."""
+    return share_report(*_mixed(spark, sf_dir, vocabulary))
+
+
+QUERIES |= {"p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mixed": p7_mixed, "p7_shares": p7_shares}
