@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusflow.plans import text_queries  # noqa: F401
+from corpusflow.plans import search_queries, text_queries  # noqa: F401
 from corpusflow.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
