@@ -77,3 +77,9 @@ def broadcast_if_small(df: DataFrame, limit_rows: int = 100_000) -> DataFrame:
     """
     df = checkpointed(df)
     return F.broadcast(df) if df.limit(limit_rows + 1).count() <= limit_rows else df
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder that all executors share: below ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="corpusflow-")
+    return f"{root}/{name}"
