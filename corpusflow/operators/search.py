@@ -5,15 +5,18 @@ Queries are tables (query_id, ...), so a batch of queries is one plan. Results a
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from corpusflow.functions.text import tokens
-from corpusflow.session import broadcast_if_small
+from corpusflow.session import broadcast_if_small, checkpointed
 
 BLOCK = 1024
 
@@ -36,11 +39,30 @@ def hashed_terms(texts: DataFrame, key: str = "id") -> DataFrame:
     return summed.withColumn("norm", norm).where("norm > 0").select(key, "idx", (F.col("v") / F.col("norm")).alias("value"))
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def _hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    places: dict[str, tuple[int, int]] = {}
+
+    def vector(terms: np.ndarray | None) -> np.ndarray | None:
+        out = np.zeros(256)
+        for term in () if terms is None else terms:
+            at = places.get(term)
+            if at is None:
+                if len(places) > 500_000:
+                    places.clear()
+                digest = hashlib.md5(term.encode()).digest()
+                at = places[term] = (digest[0], 1 if digest[4] % 2 else -1)
+            out[at[0]] += at[1]
+        size = np.sqrt(out @ out)
+        return out / size if size else None
+
+    for batch in batches:
+        yield batch.map(vector)
+
+
 def hashed_vectors(texts: DataFrame, key: str = "id") -> DataFrame:
-    """(key, vector): the same as arrays of 256 numbers."""
-    entries = F.map_from_entries(F.collect_list(F.struct("idx", "value")))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.try_element_at(F.col("entries"), i), F.lit(0.0)))
-    return hashed_terms(texts, key).groupBy(key).agg(entries.alias("entries")).select(key, dense.alias("vector"))
+    """(key, vector): the same as arrays of 256 numbers, made row by row so that nothing is shuffled."""
+    return texts.select(key, _hashed.asNondeterministic()(tokens(F.col("text"))).alias("vector")).where(F.col("vector").isNotNull())
 
 
 def trigram_terms(texts: DataFrame, key: str = "id", dim: int = 384) -> DataFrame:
@@ -115,15 +137,28 @@ def ranked(scored: DataFrame, k: int | None = None, tie: str = "id") -> DataFram
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-def postings(texts: DataFrame) -> DataFrame:
-    """(id, term, tf, dl, df, n_docs, avgdl): everything that BM25 needs, counted over all texts, empty ones included."""
+def postings(texts: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(id, term, tf, dl, df, n_docs, avgdl): everything that BM25 needs, counted over all texts, empty ones included.
+
+    With ``asked`` (term), only the postings of those terms are made, before anything is shuffled.
+    """
     lengths = texts.select("id", F.coalesce(F.size(tokens(F.col("text"))), F.lit(0)).alias("dl"), tokens(F.col("text")).alias("terms"))
     # One row of sums, joined to every posting.
     totals = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    tf = lengths.select("id", "dl", F.explode("terms").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    # Outer, as a plain explode has every text cut into tokens once more to see whether there are any.
+    each = lengths.select("id", "dl", F.explode_outer("terms").alias("term")).where("term is not null")
+    each = each if asked is None else each.join(asked, "term", "left_semi")
+    # Kept, as both the postings and their counts of documents are made of it.
+    tf = checkpointed(each.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")))
     return tf.join(tf.groupBy("term").agg(F.count("*").alias("df")), "term").crossJoin(F.broadcast(totals))
 
 
+def search_texts(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """``bm25`` of (query_id, terms) over (id, text) without a ready index."""
+    asked = broadcast_if_small(queries.select(F.explode("terms").alias("term")).distinct())
+    return bm25(queries, postings(texts, asked), k)
+
+
 def bm25(queries: DataFrame, index: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, id, score, rank) of the ``k`` best texts for each (query_id, terms); repeated terms count again.
 

@@ -66,7 +66,7 @@ def normalized_vectors(t: Tables) -> DataFrame:
 
 
 def texts(t: Tables) -> DataFrame:
-    return t.documents.select(F.col("doc_id").alias("id"), "text")
+    return t.wide("documents", "doc_id", "text").select(F.col("doc_id").alias("id"), "text")
 
 
 @query("""WITH c AS (SELECT doc_id AS id, text, unnest(range(0, greatest(0, ceil((length(text) - 400) / 350.0))::BIGINT + 1)) AS i FROM documents WHERE length(text) > 0),

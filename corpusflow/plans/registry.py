@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.session import table
+from corpusflow.session import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
+    def wide(self, name: str, *columns: str) -> DataFrame:
+        """Some columns of a table whose texts take long to work on, spread over all cores."""
+        return spread(table(self.spark, self.sf_dir, name).select(*columns))
+
 
 def query(oracle: str = "") -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
     """Register a function of ``Tables`` under its name; ``oracle`` is the same in DuckDB's SQL, if SQL can say it."""

@@ -24,7 +24,7 @@ TRUST = {"security-handbook": 1.5, "legal-archive": 1.3, "help-center": 1.1, "pr
 
 def texts(t: Tables) -> DataFrame:
     """(id, text, source, ingested_at) of all documents."""
-    return t.documents.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), source_key(F.col("source")).alias("source"), "ingested_at", "lang", "format")
+    return t.wide("documents", "doc_id", "text", "source", "ingested_at", "lang", "format").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), source_key(F.col("source")).alias("source"), "ingested_at", "lang", "format")
 
 
 def asked(t: Tables) -> DataFrame:
@@ -34,7 +34,7 @@ def asked(t: Tables) -> DataFrame:
 
 
 def sparse_hits(t: Tables, k: int = K_TOP) -> DataFrame:
-    return S.bm25(asked(t), S.postings(texts(t)), k)
+    return S.search_texts(asked(t), texts(t), k)
 
 
 def dense_hits(t: Tables, k: int = K_TOP) -> DataFrame:

@@ -33,7 +33,7 @@ FROM documents""")
 def token_statistics(t: Tables) -> DataFrame:
     """Tokens, different tokens, characters, estimated tokens and words of each document."""
     tokens = X.tokens(F.col("text"))
-    return t.documents.select("doc_id", F.size(tokens).alias("n_tokens"), F.size(F.array_distinct(tokens)).alias("n_distinct"), F.length("text").alias("n_chars"), token_estimate(F.col("text")).alias("token_estimate"), F.size(X.words(F.col("text"))).alias("n_words"))
+    return t.wide("documents", "doc_id", "text", "lang").select("doc_id", F.size(tokens).alias("n_tokens"), F.size(F.array_distinct(tokens)).alias("n_distinct"), F.length("text").alias("n_chars"), token_estimate(F.col("text")).alias("token_estimate"), F.size(X.words(F.col("text"))).alias("n_words"))
 
 
 @query(r"""
@@ -41,7 +41,7 @@ SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regex
 FROM documents""")
 def clean_texts(t: Tables) -> DataFrame:
     """Each document's text, composed, with its white space cleaned."""
-    return t.documents.select("doc_id", X.clean_text(F.col("text")).alias("clean_text"))
+    return t.wide("documents", "doc_id", "text", "lang").select("doc_id", X.clean_text(F.col("text")).alias("clean_text"))
 
 
 @query(r"""
@@ -49,7 +49,7 @@ SELECT doc_id, left(trim(regexp_replace(list_filter(list_transform(string_split(
 FROM documents""")
 def document_titles(t: Tables) -> DataFrame:
     """A title for each document."""
-    return t.documents.select("doc_id", X.derive_title(F.col("text")).alias("title"))
+    return t.wide("documents", "doc_id", "text", "lang").select("doc_id", X.derive_title(F.col("text")).alias("title"))
 
 
 @query(f"""
@@ -145,7 +145,7 @@ WITH s AS (SELECT doc_id, unnest(list_filter(string_split(regexp_replace(text, '
 SELECT doc_id, count(*) AS n_sentences, max(length(s)) AS longest FROM s GROUP BY doc_id""")
 def sentence_lengths(t: Tables) -> DataFrame:
     """Sentences of each document and the length of the longest."""
-    return t.documents.select("doc_id", F.explode(X.sentences(F.col("text"))).alias("s")).groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.max(F.length("s")).alias("longest"))
+    return t.wide("documents", "doc_id", "text", "lang").select("doc_id", F.explode(X.sentences(F.col("text"))).alias("s")).groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.max(F.length("s")).alias("longest"))
 
 
 @query(r"""
@@ -171,7 +171,7 @@ s AS (SELECT doc_id, n, round(noise, 3) AS noise_ratio, round(greatest(0.0, 1 -
 SELECT doc_id, n AS word_count, noise_ratio, score, CASE WHEN score >= 0.7 THEN 'ok' WHEN score >= 0.3 THEN 'warn' ELSE 'reject' END AS action FROM s""")
 def document_quality(t: Tables) -> DataFrame:
     """Quality score and action for each document."""
-    q = t.documents.select("doc_id", X.assess_quality(F.col("text"), F.col("lang")).alias("q"))
+    q = t.wide("documents", "doc_id", "text", "lang").select("doc_id", X.assess_quality(F.col("text"), F.col("lang")).alias("q"))
     return q.select("doc_id", "q.word_count", "q.noise_ratio", "q.score", "q.action")
 
 
@@ -183,7 +183,7 @@ def _topic_sql() -> str:
 @query(_topic_sql())
 def document_topics(t: Tables) -> DataFrame:
     """How many documents have each topic."""
-    return t.documents.select("doc_id", F.explode(X.topics(F.col("text"))).alias("topic")).groupBy("topic").agg(F.countDistinct("doc_id").alias("n_docs"))
+    return t.wide("documents", "doc_id", "text", "lang").select("doc_id", F.explode(X.topics(F.col("text"))).alias("topic")).groupBy("topic").agg(F.countDistinct("doc_id").alias("n_docs"))
 
 
 @query(f"""

@@ -83,3 +83,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A folder that all executors share: below ``spark.checkpoint.dir``, or a temporary one where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="corpusflow-")
     return f"{root}/{name}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it is read in half as many parts or fewer, as small files are; else as it is.
+
+    For tables whose texts take long to work on. Large tables are read in more parts than there are cores and aren't moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
