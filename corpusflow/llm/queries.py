@@ -17,7 +17,14 @@ from corpusflow.llm.token_budget import token_budget
 from corpusflow.llm.pii import free_texts, mentions, redacted
 from corpusflow.llm.quality import text_statistics
 from corpusflow.llm.similar import most_similar, similar_pairs
-from corpusflow.session import table
+from corpusflow.session import spread, table
+
+
+
+def _wide(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Some columns of a table whose texts take long to work on, spread over all cores where the file is small."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,13 +110,13 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 def p3_found(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """Slices of 1000 tokens or more by the project's estimate; one without a single exact token can't be one."""
-    budget = token_budget(table(spark, sf_dir, "documents"), table(spark, sf_dir, "chunks"), token_counter(spark, vocabulary))
+    budget = token_budget(table(spark, sf_dir, "documents"), _wide(spark, sf_dir, "chunks", "chunk_id", "document_id", "text"), token_counter(spark, vocabulary))
     return budget.where("level = 0 and tokens >= 1000 and bpe_tokens > 0").select("ingest_week", "source", "lang", "format")
 
 
 def p3_token_budget(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """Exact and estimated tokens of every slice and of all sums over source, language and format."""
-    return token_budget(table(spark, sf_dir, "documents"), table(spark, sf_dir, "chunks"), token_counter(spark, vocabulary))
+    return token_budget(table(spark, sf_dir, "documents"), _wide(spark, sf_dir, "chunks", "chunk_id", "document_id", "text"), token_counter(spark, vocabulary))
 
 
 QUERIES |= {"p3_found": p3_found, "p3_token_budget": p3_token_budget}
@@ -132,12 +139,12 @@ GROUP BY ALL HAVING sum(tokens) >= 1000
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries with a defective answer, and the defect."""
-    return broken_pairs(table(spark, sf_dir, "query_logs"))
+    return broken_pairs(_wide(spark, sf_dir, "query_logs", "id", "question", "answer"))
 
 
 def p5_defect_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each provider, how many entries there are and how many have each defect."""
-    logs = table(spark, sf_dir, "query_logs").where(F.col("id").isNotNull()).select("id", F.lower(F.trim("provider")).alias("provider"), answer_defect(F.col("question"), F.col("answer")).alias("defect"))
+    logs = _wide(spark, sf_dir, "query_logs", "id", "question", "answer", "provider").where(F.col("id").isNotNull()).select("id", F.lower(F.trim("provider")).alias("provider"), answer_defect(F.col("question"), F.col("answer")).alias("defect"))
     return logs.distinct().groupBy("provider", F.coalesce("defect", F.lit("none")).alias("defect")).agg(F.count("*").alias("n_entries"))
 
 
@@ -146,19 +153,20 @@ QUERIES |= {"p5_found": p5_found, "p5_defect_rates": p5_defect_rates}
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that aren't prose, and what they are."""
-    return text_statistics(table(spark, sf_dir, "documents")).where("kind <> 'prose'").select("doc_id", "kind").distinct()
+    return text_statistics(_wide(spark, sf_dir, "documents", "doc_id", "text")).where("kind <> 'prose'").select("doc_id", "kind").distinct()
 
 
 def p8_text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text statistics and form of every document."""
-    return text_statistics(table(spark, sf_dir, "documents"))
+    return text_statistics(_wide(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 QUERIES |= {"p8_found": p8_found, "p8_text_statistics": p8_text_statistics}
 
 
 def _free_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return free_texts(*(table(spark, sf_dir, t) for t in ("query_logs", "feedback_records", "documents")))
+    columns = {"query_logs": ("id", "question"), "feedback_records": ("id", "comment"), "documents": ("doc_id", "text")}
+    return free_texts(*(_wide(spark, sf_dir, t, *c) for t, c in columns.items()))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +188,7 @@ def _packed(spark: SparkSession, sf_dir: str, vocabulary: str) -> DataFrame:
     sizes = table(spark, sf_dir, "containers").distinct().orderBy("container_name").limit(1001).collect()
     if len(sizes) > 1000:
         raise ValueError("more than 1000 container sizes")
-    items = sized_texts(table(spark, sf_dir, "documents"), token_counter(spark, vocabulary))
+    items = sized_texts(_wide(spark, sf_dir, "documents", "doc_id", "text"), token_counter(spark, vocabulary))
     return pack(items, [(r["container_name"], r["capacity_tokens"]) for r in sizes])
 
 
@@ -195,7 +203,7 @@ def p6_fill(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> D
 
 
 def _mixed(spark: SparkSession, sf_dir: str, vocabulary: str) -> tuple[DataFrame, DataFrame]:
-    records = sized_records(table(spark, sf_dir, "documents"), token_counter(spark, vocabulary))
+    records = sized_records(_wide(spark, sf_dir, "documents", "doc_id", "source", "text"), token_counter(spark, vocabulary))
     return mix_sources(records, table(spark, sf_dir, "mix_targets"))
 
 
