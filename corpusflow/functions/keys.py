@@ -18,7 +18,7 @@ def language_key(lang: Column) -> Column:
 
 def token_estimate(text: Column) -> Column:
     """A quarter of the characters, rounded down, and at least 1; null stays null."""
-    return F.greatest(F.lit(1), F.floor(F.length(text) / 4).cast("long"))
+    return F.when(text.isNotNull(), F.greatest(F.lit(1), F.floor(F.length(text) / 4).cast("long")))
 
 
 def week_of(time: Column) -> Column:
