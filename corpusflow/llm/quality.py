@@ -38,10 +38,10 @@ UNLIKELY = re.compile(r"q[^u\W]|[bcdfghjklmnpqrstvwxz]{5}|\w{30}")
 PUNCT = frozenset(".!?…:;。！？\"'”“’»)")
 
 
-def split_text(text: str, size: int = CHUNK) -> list[tuple[str, bool, bool, str]]:
-    """(chunk, cuts a word at its start, cuts a word at its end, last visible character of the line before it).
+def split_text(text: str, size: int = CHUNK) -> list[tuple[str, bool, bool, str, bool]]:
+    """(chunk, cuts a word at its start, cuts a word at its end, last visible character of the line before it, its line goes on).
 
-    The last is empty where the chunk starts a line, and a blank where its line has nothing visible before it.
+    The character is empty where the chunk starts a line, and a blank where its line has nothing visible before it.
     """
     out, at = [], 0
     while at < len(text) or not out:
@@ -57,7 +57,7 @@ def split_text(text: str, size: int = CHUNK) -> list[tuple[str, bool, bool, str]
             before = line[-1:] or " "
         whole = text[at - 1 : at].isalnum() and text[at : at + 1].isalnum()
         goes_on = text[end - 1 : end].isalnum() and text[end : end + 1].isalnum() if end else False
-        out.append((text[at:end], bool(whole), bool(goes_on), before))
+        out.append((text[at:end], bool(whole), bool(goes_on), before, end < len(text) and text[end - 1 : end] != "\n"))
         at = max(end, at + 1)
     return out
 
@@ -180,7 +180,7 @@ def form_of(text: str) -> dict[str, int]:
     return sums
 
 
-def count_chunk(text: str, cut_start: bool = False, cut_end: bool = False, before: str = "") -> tuple[int, ...]:
+def count_chunk(text: str, cut_start: bool = False, cut_end: bool = False, before: str = "", open_line: bool = False) -> tuple[int, ...]:
     """The counts in ``COUNTS`` of a chunk."""
     found = list(WORD.finditer(text))
     starts_word = cut_start and bool(found) and found[0].start() == 0
@@ -191,7 +191,7 @@ def count_chunk(text: str, cut_start: bool = False, cut_end: bool = False, befor
     closed = lines[:-1] if text.endswith("\n") else lines
     punct = n_lines = 0
     for i, line in enumerate(closed):
-        goes_on = i == len(closed) - 1 and not text.endswith("\n") and cut_end
+        goes_on = i == len(closed) - 1 and open_line
         last = line.rstrip()[-1:] or (before if i == 0 else "")
         if last.strip():
             n_lines += not (i == 0 and before.strip())
@@ -204,18 +204,18 @@ def count_chunk(text: str, cut_start: bool = False, cut_end: bool = False, befor
     )
 
 
-_PIECES = ArrayType(StructType([StructField("text", StringType()), StructField("cut_start", BooleanType()), StructField("cut_end", BooleanType()), StructField("before", StringType())]))
+_PIECES = ArrayType(StructType([StructField("text", StringType()), StructField("cut_start", BooleanType()), StructField("cut_end", BooleanType()), StructField("before", StringType()), StructField("open_line", BooleanType())]))
 
 
 @F.pandas_udf(_PIECES)
 def _split(texts: pd.Series) -> pd.Series:
-    return pd.Series([[dict(zip(("text", "cut_start", "cut_end", "before"), piece)) for piece in split_text(t)] for t in texts])
+    return pd.Series([[dict(zip(("text", "cut_start", "cut_end", "before", "open_line"), piece)) for piece in split_text(t)] for t in texts])
 
 
 def _counted(pieces: DataFrame) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [count_chunk(t, a, b, c) for t, a, b, c in zip(batch["text"], batch["cut_start"], batch["cut_end"], batch["before"])]
+            rows = [count_chunk(*x) for x in zip(batch["text"], batch["cut_start"], batch["cut_end"], batch["before"], batch["open_line"])]
             counts = pd.DataFrame(rows, columns=list(COUNTS), dtype="int64")
             yield pd.concat([batch[["doc_id", "text_key"]].reset_index(drop=True), counts], axis=1)
 
@@ -231,7 +231,7 @@ def text_statistics(documents: DataFrame) -> DataFrame:
     """
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     no = F.lit(False)
-    short = texts.where(F.length("text") <= CHUNK).select("doc_id", "text_key", "text", no.alias("cut_start"), no.alias("cut_end"), F.lit("").alias("before"))
+    short = texts.where(F.length("text") <= CHUNK).select("doc_id", "text_key", "text", no.alias("cut_start"), no.alias("cut_end"), F.lit("").alias("before"), no.alias("open_line"))
     pieces = texts.where(F.length("text") > CHUNK).select("doc_id", "text_key", F.posexplode(_split("text")).alias("piece_no", "piece")).select("doc_id", "text_key", "piece_no", "piece.*")
     spread = pieces.repartition("doc_id", "piece_no").drop("piece_no")
     merged = _counted(spread).groupBy("doc_id", "text_key").agg(*[F.sum(c).alias(c) for c in COUNTS])
