@@ -156,8 +156,11 @@ def token_counter(spark: SparkSession, path: str):
         for texts in batches:
             yield pd.Series([count(t) for t in texts], dtype="Int64")
 
+    # Else a filter on the count would have every text counted twice.
+    counted = tokens.asNondeterministic()
+
     def of(text: Column) -> Column:
-        return tokens(text)
+        return counted(text)
 
     return of
 

@@ -312,6 +312,10 @@ def _defects(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
         yield pd.Series([defect_of(q if isinstance(q, str) else None, a if isinstance(a, str) else None) for q, a in zip(questions, answers)], dtype=object)
 
 
+# Else a filter on the result would have every answer judged twice.
+_defects = _defects.asNondeterministic()
+
+
 def answer_defect(question: Column, answer: Column) -> Column:
     """The type of the answer's defect as a string, null where there is none."""
     return _defects(question.cast("string"), answer.cast("string"))

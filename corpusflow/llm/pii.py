@@ -446,7 +446,8 @@ def mentions(texts: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
             out[at] = 1 / (1 + np.exp(-_features(votes[at], mask.to_numpy()[at], before.to_numpy()[at], after.to_numpy()[at]) @ w))
         return pd.Series(out)
 
-    judged = spans.withColumn("likely", likelihood("kind", "form", "gazetteer", "context", "mask", "before", "after")).where("likely > 0.5")
+    # Else the filter would have every span judged twice.
+    judged = spans.withColumn("likely", likelihood.asNondeterministic()("kind", "form", "gazetteer", "context", "mask", "before", "after")).where("likely > 0.5")
     place = Window.partitionBy("table_name", "row_id", "start").orderBy(F.col("likely").desc(), "kind")
     judged = judged.withColumn("_n", F.row_number().over(place)).where("_n = 1")
     order = Window.partitionBy("table_name", "row_id", "kind").orderBy("start")
