@@ -311,6 +311,8 @@ def _ends_of(lower: str, cues: tuple[str, ...]) -> Iterator[int]:
 
 CUE_ENDS = re.compile(r"(?<![\w.@])([^\W\d_]+(?: \w\.)? [^\W\d_]+(?:-[^\W\d_]+)?)(?= (?:wrote from|schrieb von|a écrit depuis|escribió desde))", re.I)
 DIGITS = re.compile(r"\d+")
+# Blanks and hyphens that don't break lines, and what they are read as; lengths stay.
+PLAIN_MARKS = {0xA0: " ", 0x2007: " ", 0x2009: " ", 0x202F: " ", 0x2010: "-", 0x2011: "-", 0x2012: "-", 0x2013: "-"}
 WRAPPED = re.compile(r"(?<=[^\n]{40})\n(?=[^\n])")
 
 
@@ -318,6 +320,7 @@ def candidates(text: str | None) -> list[tuple]:
     """(kind, start, end, votes of form, gazetteer and context, three feature buckets, given and family name)."""
     if not text:
         return []
+    text = text if text.isascii() else text.translate(PLAIN_MARKS)
     f = _Found(WRAPPED.sub(" ", text) if "\n" in text else text)
     digits = [m.start() for m in DIGITS.finditer(f.text)]
     _emails(f)
