@@ -88,20 +88,40 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), F.when(norms > 0, norms)), F.lit(0.0))
 
 
-def _blocks(vectors: DataFrame, parts: list[str], name: str) -> DataFrame:
-    """(parts..., name_ids, name_matrix): rows packed into blocks of about ``BLOCK`` normalised vectors."""
-    blocks = max(1, -(-vectors.count() // BLOCK))
+def _packed(table: pa.Table, parts: list[str], name: str) -> pa.Table:
+    rows = np.asarray(table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(table.num_rows, -1)
+    size = np.linalg.norm(rows, axis=1, keepdims=True)
+    rows = rows / np.where(size > 0, size, 1)
+    packed = {p: table.column(p)[:1] for p in parts}
+    return pa.table(packed | {f"{name}_ids": pa.array([table.column("id").to_pylist()], pa.list_(pa.string())), f"{name}_matrix": pa.array([rows.tobytes()], pa.binary())})
+
 
-    def pack(table: pa.Table) -> pa.Table:
-        rows = np.asarray(table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(table.num_rows, -1)
-        size = np.linalg.norm(rows, axis=1, keepdims=True)
-        rows = rows / np.where(size > 0, size, 1)
-        packed = {p: table.column(p)[:1] for p in parts}
-        return pa.table(packed | {f"{name}_ids": pa.array([table.column("id").to_pylist()], pa.list_(pa.string())), f"{name}_matrix": pa.array([rows.tobytes()], pa.binary())})
+def _blocks(vectors: DataFrame, parts: list[str], name: str) -> DataFrame:
+    """(parts..., name_ids, name_matrix): rows packed into blocks of up to about ``BLOCK`` normalised vectors.
 
+    Without parts, rows are packed where they are; else those of one part are dealt into its blocks by a hash.
+    """
     schema = ", ".join([*(f"{p} string" for p in parts), f"{name}_ids array<string>", f"{name}_matrix binary"])
-    keyed = vectors.select(*(F.col(p).cast("string").alias(p) for p in parts), F.col("id").cast("string").alias("id"), F.col("vector").cast("array<double>").alias("vector")).withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    return keyed.groupBy(*parts, "_b").applyInArrow(pack, schema)
+    keyed = vectors.select(*(F.col(p).cast("string").alias(p) for p in parts), F.col("id").cast("string").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+
+    def pack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= BLOCK:
+                yield from pack_held(held)
+                held = []
+        yield from pack_held(held)
+
+    def pack_held(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held) if held else None
+        for at in range(0, rows.num_rows if rows is not None else 0, BLOCK):
+            yield from _packed(rows.slice(at, BLOCK), [], name).to_batches()
+
+    if not parts:
+        return keyed.mapInArrow(pack_batches, schema)
+    blocks = max(1, -(-vectors.select(*parts).count() // BLOCK))
+    return keyed.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy(*parts, "_b").applyInArrow(lambda table: _packed(table, parts, name), schema)
 
 
 def cosine_top_k(queries: DataFrame, items: DataFrame, k: int, parts: list[str] | None = None) -> DataFrame:
