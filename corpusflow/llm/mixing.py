@@ -3,7 +3,8 @@
 Every record has a place in a fixed order, the hash of its id. Tokens are summed by source and hash bucket; a source's
 budget is met by taking it whole as often as it goes and, once more, all records below a threshold. The threshold lies
 in the bucket where the running sum reaches the rest of the budget; only that bucket is summed again, by finer buckets,
-until a single record is left. All mixes use one order, so a larger budget's selection holds a smaller one's.
+until a single record is left. What is missing then, less than that record, is filled by the one record whose size is
+nearest to it. All mixes use one order, so a larger budget's selection holds a smaller one's but for that record.
 Records are then filtered by their hash; nothing is sorted, and only sums per bucket are moved.
 """
 
@@ -48,7 +49,10 @@ def plan_budgets(targets: DataFrame, sizes: DataFrame, budget_tokens: int | None
 
 
 def thresholds(records: DataFrame, plans: DataFrame) -> DataFrame:
-    """(mix_id, source_key, whole, below): each record is used ``whole`` times, and once more if its place is under ``below``."""
+    """(mix_id, source_key, whole, below, short): each record is used ``whole`` times, and once more if its place is under ``below``.
+
+    ``short`` is what is then missing from the budget.
+    """
     whole = F.least(F.col("max_repeats").cast("double"), F.floor(F.try_divide("want", "size"))).cast("int")
     open_ = plans.where("size > 0 and want > 0").withColumn("whole", whole)
     open_ = open_.withColumn("rest", F.when(F.col("whole") < F.col("max_repeats"), F.col("want") - F.col("whole") * F.col("size")).otherwise(F.lit(0.0)))
@@ -67,16 +71,25 @@ def thresholds(records: DataFrame, plans: DataFrame) -> DataFrame:
         upto = Window.partitionBy("mix_id", "source_key").orderBy("finer")
         sums = sums.withColumn("upto", F.sum("here").over(upto)).withColumn("before", F.col("upto") - F.col("here"))
         hit = sums.where((F.col("before") <= F.col("rest")) & (F.col("upto") > F.col("rest")))
-        # A single record is taken if that brings the sum nearer to the budget.
         last = (F.col("n") == 1) | F.lit(level == LEVELS - 1)
-        take = F.col("here") / 2 < F.col("rest") - F.col("before")
-        below = F.shiftleft(F.col("finer") + F.when(last & take, 1).otherwise(0), cut)
-        moved = hit.select("mix_id", "source_key", "whole", (F.col("rest") - F.col("before")).alias("rest"), F.col("finer").alias("cell"), last.alias("done"), below.alias("below"))
+        moved = hit.select("mix_id", "source_key", "whole", (F.col("rest") - F.col("before")).alias("rest"), F.col("finer").alias("cell"), last.alias("done"), F.shiftleft("finer", cut).alias("below"))
         state = checkpointed(state.where("done").unionByName(moved))
         if not state.where("not done").limit(1).count():
             break
-    reached = state.select("mix_id", "source_key", "below")
-    return open_.select("mix_id", "source_key", "whole").join(reached, ["mix_id", "source_key"], "left").withColumn("below", F.coalesce("below", F.lit(0).cast("long")))
+    reached = state.select("mix_id", "source_key", "below", F.col("rest").alias("short"))
+    joined = open_.select("mix_id", "source_key", "whole").join(reached, ["mix_id", "source_key"], "left")
+    return joined.withColumns({"below": F.coalesce("below", F.lit(0).cast("long")), "short": F.coalesce("short", F.lit(0.0))})
+
+
+def fillers(records: DataFrame, limits: DataFrame) -> DataFrame:
+    """(mix_id, source_key, filler): the place of the record above the threshold that is nearest in size to what is missing.
+
+    Only where taking it brings the sum nearer to the budget; ties go to the lower place.
+    """
+    off = F.abs(F.col("tokens") - F.col("short"))
+    near = records.join(limits.where("short > 0"), "source_key").where(F.col("place") >= F.col("below"))
+    best = near.groupBy("mix_id", "source_key").agg(F.min(F.struct(off.alias("off"), "place")).alias("b"), F.max("short").alias("short"))
+    return best.where("b.off < short").select("mix_id", "source_key", F.col("b.place").alias("filler"))
 
 
 def mix_sources(records: DataFrame, targets: DataFrame, budget_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -88,7 +101,9 @@ def mix_sources(records: DataFrame, targets: DataFrame, budget_tokens: int | Non
     sizes = records.groupBy("source_key").agg(F.sum("tokens").alias("size"))
     plans = checkpointed(plan_budgets(targets, sizes, budget_tokens))
     limits = broadcast_if_small(thresholds(records, plans))
-    copies = F.col("whole") + F.when(F.col("place") < F.col("below"), 1).otherwise(0)
+    limits = broadcast_if_small(limits.join(fillers(records, limits), ["mix_id", "source_key"], "left"))
+    once_more = (F.col("place") < F.col("below")) | F.coalesce(F.col("place") == F.col("filler"), F.lit(False))
+    copies = F.col("whole") + F.when(once_more, 1).otherwise(0)
     selected = records.join(limits, "source_key").withColumn("copies", copies).where("copies > 0")
     return selected.select("mix_id", "source_key", "doc_id", "copies", "tokens"), plans
 

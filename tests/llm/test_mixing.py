@@ -21,7 +21,7 @@ def test_shares_and_repeats(spark):
     shares = {(r["mix_id"], r["source_key"]): r for r in share_report(selected, plans).collect()}
     assert len(shares) == 5
     for key, wanted in {("m", "big-one"): 0.5, ("m", "small"): 0.3, ("m", "tiny"): 0.2, ("gap", "big-one"): 1.0, ("gap", "missing"): 0.0}.items():
-        assert abs(shares[key]["share"] - wanted) < 0.002
+        assert abs(shares[key]["share"] - wanted) < 0.0005
     most = {r["source_key"]: (r["lo"], r["hi"]) for r in selected.where("mix_id = 'm'").groupBy("source_key").agg(F.min("copies").alias("lo"), F.max("copies").alias("hi")).collect()}
     assert most["tiny"] == (4, 4) or most["tiny"][1] <= 4
     assert most["big-one"][1] == 1 and most["small"][1] <= 2
@@ -35,7 +35,7 @@ def test_budget_is_met_and_selections_nest(spark, budget):
     picked = {r["doc_id"] for r in mix_sources(base, targets, budget)[0].collect()}
     more = {r["doc_id"] for r in mix_sources(base, targets, 2 * budget)[0].collect()}
     tokens = sum(r["tokens"] for r in base.where("source_key = 'big-one'").collect() if r["doc_id"] in picked)
-    assert abs(tokens - budget) <= 50 and picked <= more
+    assert abs(tokens - budget) <= 2 and len(picked - more) <= 1
 
 
 def test_empty(spark):
