@@ -82,7 +82,9 @@ def feedback_patterns(t: Tables) -> DataFrame:
     return A.feedback_patterns(feedback(t))
 
 
-@query()
+# A hexadecimal number's remainder by three is that of its digits' sum.
+@query("""WITH u AS (SELECT DISTINCT user_id FROM feedback_records WHERE user_id IS NOT NULL)
+SELECT user_id, ['blend', 'classic', 'fresh'][(list_sum(list_transform(range(1, 33), lambda i: ('0x' || substr(md5('ranking:' || user_id), i::INT, 1))::INT)) % 3 + 1)::INT] AS variant FROM u""")
 def experiment_variants(t: Tables) -> DataFrame:
     """The variant of each user in an experiment."""
     users = t.feedback_records.where("user_id is not null").select("user_id").distinct()
