@@ -23,14 +23,14 @@ PACKED = "container_name string, container_id string, doc_id long, piece_no int,
 
 
 def sized_texts(documents: DataFrame, tokens: Callable[[Column], Column]) -> DataFrame:
-    """(doc_id, tokens, loss_tokens): tokens of the text, and those after its first line, which is taken as the prompt.
+    """(doc_id, tokens, loss_tokens): tokens of the text, and how many more they are than those of its first line, the prompt.
 
     A text of one line bears loss throughout; a null text has no tokens. Rows without a doc_id are left out.
     """
     text = F.coalesce("text", F.lit(""))
-    rest = F.when(F.instr(text, "\n") > 0, F.expr("substring(coalesce(text, ''), instr(coalesce(text, ''), '\n') + 1)")).otherwise(text)
-    sized = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), tokens(text).alias("tokens"), tokens(rest).alias("loss"))
-    return sized.select("doc_id", "tokens", F.least("tokens", "loss").alias("loss_tokens"))
+    prompt = F.when(F.instr(text, "\n") > 0, F.substring_index(text, "\n", 1)).otherwise(F.lit(""))
+    sized = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), tokens(text).alias("tokens"), tokens(prompt).alias("prompt"))
+    return sized.select("doc_id", "tokens", F.greatest(F.lit(0), F.col("tokens") - F.col("prompt")).alias("loss_tokens"))
 
 
 def fill(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
@@ -44,22 +44,18 @@ def fill(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
     left = np.argsort(-share.max(1), kind="stable")
     number = 0
     while len(left):
-        space = np.ones(len(limits))
-        first, inside = 0, []
-        alive = np.ones(len(left), bool)
-        while True:
-            inside.append(left[first])
-            alive[first] = False
-            space = space - share[left[first]]
-            alive &= (share[left] <= space + 1e-9).all(1)
-            if not alive.any():
-                break
-            value = share[left] @ (weight * space)
-            value[~alive] = -1
-            first = int(value.argmax())
-        out[inside] = number
+        rest = share[left]
+        inside, space = [0], 1 - rest[0]
+        pool = 1 + np.nonzero((rest[1:] <= space + 1e-9).all(1))[0]
+        while len(pool):
+            best = int((rest[pool] @ (weight * space)).argmax())
+            inside.append(pool[best])
+            space = space - rest[pool[best]]
+            pool = np.delete(pool, best)
+            pool = pool[(rest[pool] <= space + 1e-9).all(1)]
+        out[left[inside]] = number
         number += 1
-        left = left[out[left] < 0]
+        left = np.delete(left, inside)
     return out
 
 
