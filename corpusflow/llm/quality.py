@@ -31,8 +31,9 @@ ENDS = re.compile(r"[.!?…。！？][\"'”“’»)\]*_]*(?=\s|$)")
 GAPS = re.compile(r"\S(?: {2,}|\t)(?=\S)")
 QUOTED = re.compile(r'"[^"]*"')
 LONG_RUN = re.compile(r"\S{60,}")
-ORDINARY = frozenset(".,;:?!'\"()-–—/%|€$£&„“”«»¿¡’‘…•@#+")
-CELL_MARKS = frozenset(".,;|-:\"")
+SYMBOL = re.compile(r"[^\w\s]|_")
+ODD = re.compile(r"[^\w\s.,;:?!'\"()\-–—/%|€$£&„“”«»¿¡’‘…•@#+]|_")
+CELL_MARK = re.compile(r"[.,;|\-:\"]")
 SAID = frozenset(w for w in COMMON if len(w) > 1)
 UNLIKELY = re.compile(r"q[^u\W]|[bcdfghjklmnpqrstvwxz]{5}|\w{30}")
 PUNCT = frozenset(".!?…:;。！？\"'”“’»)")
@@ -79,10 +80,12 @@ def _cells(line: str) -> tuple[str, int]:
 
 def _readable(line: str) -> bool:
     """Whether most of what is visible belongs to words, numbers, cells or ordinary punctuation."""
-    seen = [c for c in line if not c.isspace()]
-    words = sum(c.isalnum() or c in CELL_MARKS for c in seen)
-    odd = sum(not c.isalnum() and c not in ORDINARY for c in seen)
-    return words >= 0.6 * len(seen) and odd <= 0.18 * len(seen)
+    visible = sum(map(len, line.split()))
+    marks = len(SYMBOL.findall(line))
+    if not marks:
+        return True
+    words = visible - marks + len(CELL_MARK.findall(line))
+    return words >= 0.6 * visible and len(ODD.findall(line)) <= 0.18 * visible
 
 
 def _looped(tokens: list[str]) -> bool:
@@ -101,12 +104,11 @@ def _unsaid(text: str, tokens: list[str]) -> bool:
     return len(tokens) >= 5 and sum(t in SAID for t in tokens) < 0.08 * len(tokens) or unlikely > 0.4 * sum(map(len, tokens))
 
 
-def form_of(text: str) -> dict[str, int]:
-    """Characters of each form in a text, line by line; blank lines and rules count for none."""
+def form_of(text: str, tokens: list[str] | None = None) -> dict[str, int]:
+    """Characters of each form in a text, line by line; blank lines and rules count for none. ``tokens``: its words, if at hand."""
     sums = dict.fromkeys(KINDS, 0)
-    tokens = WORD.findall(text.lower())
-    visible = sum(not c.isspace() for c in text)
-    if not visible:
+    tokens = WORD.findall(text.lower()) if tokens is None else tokens
+    if not text.strip():
         return sums
     lines = text.split("\n")
     sizes = [len(line.strip()) for line in lines]
@@ -182,9 +184,9 @@ def form_of(text: str) -> dict[str, int]:
 
 def count_chunk(text: str, cut_start: bool = False, cut_end: bool = False, before: str = "", open_line: bool = False) -> tuple[int, ...]:
     """The counts in ``COUNTS`` of a chunk."""
-    found = list(WORD.finditer(text))
-    starts_word = cut_start and bool(found) and found[0].start() == 0
-    ends_word = cut_end and bool(found) and found[-1].end() == len(text)
+    found = WORD.findall(text.lower())
+    starts_word = cut_start and bool(found) and WORD.match(text) is not None
+    ends_word = cut_end and bool(found) and text[-1:].isalnum()
     whole = found[1 if starts_word else 0 : len(found) - ends_word or None]
     whole = whole if not (starts_word and ends_word and len(found) == 1) else []
     lines = text.split("\n")
@@ -196,11 +198,10 @@ def count_chunk(text: str, cut_start: bool = False, cut_end: bool = False, befor
         if last.strip():
             n_lines += not (i == 0 and before.strip())
             punct += last in PUNCT and not goes_on
-    forms = form_of(text)
-    symbols = sum(not c.isalnum() and not c.isspace() for c in text)
+    forms = form_of(text, found)
     return (
-        len(text), len(found) - starts_word, sum(m.end() - m.start() for m in found), symbols, n_lines, punct,
-        sum(m.group().lower() in COMMON for m in whole), *(forms[k] for k in KINDS),
+        len(text), len(found) - starts_word, sum(map(len, found)), len(SYMBOL.findall(text)), n_lines, punct,
+        sum(map(COMMON.__contains__, whole)), *(forms[k] for k in KINDS),
     )
 
 
