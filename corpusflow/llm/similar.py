@@ -6,9 +6,11 @@ wide; virtual rehashing widens it from one radius to the next for the queries th
 yet. Rows that lie in the windows of at least ``threshold`` of the directions are verified by their cosine.
 
 A block is a whole (store, namespace) up to ``block_rows`` rows. A larger namespace is cut by the signs of
-further random projections, in as many tables as ``route_recall`` takes; a cell that is still too large is cut by
-more signs and then, where even those agree (rows that are all but equal), by a hash of the id. So no group grows
-with the data, and the work grows by a power below two. Exact copies are one class with one representative.
+further random projections, in as many tables as ``route_recall`` takes. A cell that is still too large, as one in
+a dense cluster is, is dealt into parts, and every two parts are a group in which all pairs are compared by cosine:
+further signs or a hash would part neighbours that the tables count as met. So no group grows with the data, and
+the work grows by a power below two outside of dense cells, with their square in them. Exact copies are one class
+with one representative.
 """
 
 from __future__ import annotations
@@ -139,8 +141,38 @@ def tables_needed(bits: Column, similarity: float, recall: float) -> Column:
     return F.when(bits == 0, 1).otherwise(F.ceil(math.log(1 - recall) / F.log(1 - F.pow(F.lit(same), bits)))).cast("int")
 
 
+def compare_all(units: np.ndarray, others: np.ndarray | None, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, other row, cosine) of the ``k`` best of ``others`` with a cosine of ``floor`` or more for each row, by all cosines.
+
+    Without ``others`` the rows are compared with each other. Both are taken from their mean first, as else the
+    differences of rows that are all but equal would be lost in rounding. Ties go to the lower row number.
+    """
+    alone = others is None
+    centre = units.mean(0, dtype=np.float64) if alone else (units.sum(0, dtype=np.float64) + others.sum(0, dtype=np.float64)) / (len(units) + len(others))
+    a = (units - centre).astype(np.float32)
+    b = a if alone else (others - centre).astype(np.float32)
+    of_a, of_b = (a * a).sum(1), (b * b).sum(1)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    step = max(1, (1 << 22) // max(1, len(b)))
+    for at in range(0, len(a), step):
+        rows = np.arange(at, min(at + step, len(a)))
+        apart = of_a[rows, None] + of_b - 2 * (a[rows] @ b.T)
+        if alone:
+            apart[np.arange(len(rows)), rows] = np.inf
+        limit = np.partition(apart, k - 1, axis=1)[:, k - 1 : k] if len(b) > k else np.float32(np.inf)
+        near, other = np.nonzero((apart <= limit) & np.isfinite(apart))
+        cosine = 1 - np.maximum(apart[near, other].astype(np.float64), 0) / 2
+        good = cosine >= floor
+        near, other, cosine = near[good], other[good], cosine[good]
+        order = np.lexsort((other, -cosine, near))
+        near, other, cosine = near[order], other[order], cosine[order]
+        take = np.arange(len(near)) - np.searchsorted(near, near, "left") < k
+        out.append((rows[near[take]], other[take], cosine[take]))
+    return tuple(np.concatenate(x) for x in zip(*out))  # type: ignore[return-value]
+
+
 def _routes(rows: DataFrame, dim: int, seed: int, with_unit: bool) -> DataFrame:
-    """(id, store_name, namespace, unit, table, cell, deeper, left_bits): a row for each table of a row of a namespace that is cut."""
+    """(id, store_name, namespace, unit, table, cell, first): a row for each table of a row of a namespace that is cut; ``first`` is its cell in table 0."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,40 +180,53 @@ def _routes(rows: DataFrame, dim: int, seed: int, with_unit: bool) -> DataFrame:
                 continue
             units = _matrix(batch.column("unit"), dim)
             bits, tables = batch.column("bits").to_numpy(), batch.column("tables").to_numpy()
+            first = np.zeros(len(units), np.int64)
             for t in range(int(tables.max())):
                 of = np.nonzero(tables > t)[0]
                 signs = (units[of] @ _directions(dim, ROUTE_BITS, seed + 1000 + t)) > 0
-                code = signs.astype(np.int64) @ (1 << np.arange(ROUTE_BITS - 1, -1, -1, dtype=np.int64))
-                cut = ROUTE_BITS - bits[of].astype(np.int64)
+                cells = (signs.astype(np.int64) @ (1 << np.arange(ROUTE_BITS - 1, -1, -1, dtype=np.int64))) >> (ROUTE_BITS - bits[of].astype(np.int64))
+                if not t:
+                    first[of] = cells
                 keep = batch.take(pa.array(of))
                 unit = keep.column("unit") if with_unit else pa.nulls(len(of), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [keep.column("id"), keep.column("store_name"), keep.column("namespace"), unit, pa.array(np.full(len(of), t, np.int32)), pa.array(code >> cut), pa.array(code & ((np.int64(1) << cut) - 1)), pa.array(cut.astype(np.int32))],
-                    names=["id", "store_name", "namespace", "unit", "table", "cell", "deeper", "left_bits"],
+                    [keep.column("id"), keep.column("store_name"), keep.column("namespace"), unit, pa.array(np.full(len(of), t, np.int32)), pa.array(cells), pa.array(first[of])],
+                    names=["id", "store_name", "namespace", "unit", "table", "cell", "first"],
                 )
 
-    return rows.mapInArrow(sign, "id string, store_name string, namespace string, unit binary, table int, cell long, deeper long, left_bits int")
+    return rows.mapInArrow(sign, "id string, store_name string, namespace string, unit binary, table int, cell long, first long")
 
 
 def _blocks(cut: DataFrame, dim: int, seed: int, block_rows: int) -> DataFrame:
-    """(id, store_name, namespace, unit, block) of the rows of namespaces that are cut, once for each table.
+    """(id, store_name, namespace, unit, part, block) of the rows of namespaces that are cut, once for each table.
 
-    The sizes of cells are counted on narrow rows; only the lists of cells that are still too large are joined.
+    A cell of more than twice ``block_rows`` rows is dealt into parts of about so many, and each two of its parts, and each
+    part with itself, are a block; ``part`` is null in other cells. Rows that lie in one such cell of table 0 are compared
+    there, so where they are many in such a cell of a later table they are parts of their own that aren't paired again.
+    The sizes of cells are counted on narrow rows; only the lists of cells that are too large are joined.
     """
-    cell = [*SPACE, "table", "cell"]
-
-    def deepened(routes: DataFrame, large: DataFrame) -> DataFrame:
-        sub = F.when(F.col("_more").isNull(), F.lit(0).cast("long")).otherwise(F.expr("shiftright(deeper, greatest(0, left_bits - _more - 2))"))
-        return routes.join(large, cell, "left").withColumn("sub", sub).drop("_more")
-
-    narrow = _routes(cut, dim, seed, with_unit=False)
-    cells = narrow.groupBy(*cell).agg(F.count("*").alias("_rows")).where(F.col("_rows") > 2 * block_rows)
-    cells = broadcast_if_small(cells.select(*cell, F.ceil(F.log2(F.col("_rows") / block_rows)).cast("int").alias("_more")))
-    subs = deepened(narrow, cells).groupBy(*cell, "sub").agg(F.count("*").alias("_rows")).where(F.col("_rows") > 2 * block_rows)
-    subs = broadcast_if_small(subs.select(*cell, "sub", F.ceil(F.col("_rows") / block_rows).cast("long").alias("_salts")))
-    routes = deepened(_routes(cut, dim, seed, with_unit=True), cells).join(subs, [*cell, "sub"], "left")
-    salt = F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id", "table"), F.col("_salts")))
-    return routes.select("id", *SPACE, "unit", F.concat_ws(":", "table", "cell", "sub", salt).alias("block"))
+    cell, part_rows = [*SPACE, "table", "cell"], 2 * block_rows
+    narrow, routes = (_routes(cut, dim, seed, with_unit=w) for w in (False, True))
+    large = broadcast_if_small(narrow.groupBy(*cell).agg(F.count("*").alias("_rows")).where(F.col("_rows") > part_rows).drop("_rows"))
+    if large.isEmpty():
+        return routes.select("id", *SPACE, "unit", F.lit(None).cast("long").alias("part"), F.concat_ws(":", "table", "cell").alias("block"))
+    met = large.where("table = 0").select(*SPACE, F.col("cell").alias("first"), F.lit(True).alias("_met"))
+    sizes = narrow.join(large, cell).join(broadcast_if_small(met), [*SPACE, "first"], "left").withColumn("mass", F.when(F.col("_met") & (F.col("table") > 0), F.col("first")).otherwise(-1))
+    sizes = sizes.groupBy(*cell, "mass").agg(F.count("*").alias("_rows"))
+    sizes = sizes.withColumn("mass", F.when(F.col("_rows") >= part_rows, F.col("mass")).otherwise(-1)).groupBy(*cell, "mass").agg(F.sum("_rows").alias("_rows"))
+    parts, of = F.ceil(F.col("_rows") / part_rows).cast("long"), Window.partitionBy(*cell)
+    listed = sizes.withColumn("_parts", parts).withColumn("_all", F.sum("_parts").over(of)).withColumn("_at", F.sum("_parts").over(of.orderBy("mass")) - F.col("_parts"))
+    listed = checkpointed(listed.drop("_rows"))
+    # Rows that aren't of a mass have the first parts.
+    cells = listed.groupBy(*cell).agg(F.max("_all").alias("_all"), F.max(F.when(F.col("mass") < 0, F.col("_parts"))).alias("_rest"))
+    masses = listed.where("mass >= 0").select(*cell, F.col("mass").alias("first"), "_parts", "_at")
+    dealt = routes.join(broadcast_if_small(cells), cell, "left").join(broadcast_if_small(masses), [*cell, "first"], "left")
+    part = F.coalesce("_at", F.lit(0)) + F.pmod(F.xxhash64("id", "table"), F.coalesce("_parts", "_rest"))
+    with_part = dealt.withColumn("part", F.when(F.col("_all").isNotNull(), part))
+    new = lambda q: F.col("_at").isNull() | (q < F.col("_at")) | (q >= F.col("_at") + F.col("_parts"))
+    partners = F.when(F.col("_all").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("_all") - 1), new))
+    paired = with_part.withColumn("_with", F.explode(partners))
+    return paired.select("id", *SPACE, "unit", "part", F.concat_ws(":", "table", "cell", F.least("part", "_with"), F.greatest("part", "_with")).alias("block"))
 
 
 def similar_vectors(
@@ -202,7 +247,16 @@ def similar_vectors(
     def block(group: pa.Table) -> pa.Table:
         group = group.sort_by("id")
         ids = group.column("id")
-        query, other, cosine = count_collisions(_matrix(group.column("unit"), dim), k, radii, n_projections, share, min_similarity, seed)
+        units = _matrix(group.column("unit"), dim)
+        part = group.column("part").to_numpy() if "part" in group.column_names and not group.column("part").null_count else None
+        if part is None:
+            query, other, cosine = count_collisions(units, k, radii, n_projections, share, min_similarity, seed)
+        elif (part == part[0]).all():
+            query, other, cosine = compare_all(units, None, k, min_similarity)
+        else:
+            a, b = np.nonzero(part == part.min())[0], np.nonzero(part != part.min())[0]
+            there, back = compare_all(units[a], units[b], k, min_similarity), compare_all(units[b], units[a], k, min_similarity)
+            query, other, cosine = np.concatenate([a[there[0]], b[back[0]]]), np.concatenate([b[there[1]], a[back[1]]]), np.concatenate([there[2], back[2]])
         return pa.table({"id": ids.take(pa.array(query)), "neighbour": ids.take(pa.array(other)), "similarity": pa.array(cosine.astype(np.float64))})
 
     pairs = "id string, neighbour string, similarity double"

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import numpy as np
+import pytest
 
 from corpusflow.llm.similar import SPACE, count_collisions, most_similar, similar_pairs, similar_vectors, unit_vectors
 
@@ -56,6 +57,17 @@ def test_mass_of_near_copies_is_split(spark):
     assert len(found) == 600 and all(r["count"] == 2 for r in found)
 
 
+@pytest.mark.parametrize("noise", [0.002, 0.08])
+def test_third_in_one_dense_cluster_keeps_recall(spark, noise):
+    rng = np.random.default_rng(5)
+    mass = rng.standard_normal(32) / 32**0.5 + noise * rng.standard_normal((500, 32))
+    rows = np.concatenate([mass / np.linalg.norm(mass, axis=1, keepdims=True), clustered(1000, noise=0.2)]).astype(np.float32)
+    frame = spark.createDataFrame([(f"{i:05d}", "s", "n", r.tolist(), T, 0) for i, r in enumerate(rows)], SCHEMA)
+    found = {(int(a), int(b)) for a, b, _ in similar_vectors(unit_vectors(frame, 32), 5, 0.8, (0.632,), block_rows=50, route_similarity=0.8, route_recall=0.98, dim=32).collect()}
+    wanted = {(a, b) for a, b in brute(rows.astype(np.float64), 5, 0.8) if a < 500}
+    assert len(found & wanted) / len(wanted) >= 0.95
+
+
 def test_unusable_versions_copies_and_namespaces(spark):
     v, w = [1.0] * 8, [1.0] * 7 + [0.9]
     nan, none = [float("nan")] + [1.0] * 7, [None] + [1.0] * 7
