@@ -71,6 +71,11 @@ _I = rf"[{UPPER}]\."
 NAME = re.compile(rf"(?<![\w@.&/-])(?:{TITLE}\s+(?:{_I}\s*)*(?:{_W}[ ]){{0,2}}{_W}|(?:(?:{_W}|{_I})[ ]){{1,4}}{_W})(?![\w@])")
 PLAIN = re.compile(rf"(?:(?P<title>(?i:mr|mrs|ms|dr|herr|frau|mme|sr|sra)\.?)\s+(?:[\w'’]+\s+)?|[\w'’]\.\s*|[\w'’]+\s+(?:\w\.\s+)?)[\w'’]+(?:-[\w'’]+)?(?!\w)")
 TITLED = re.compile(rf"{TITLE}\s", re.I)
+TWO_CAPITALS = re.compile(rf"[{UPPER}][\W\d_]*[{UPPER}]")
+LINE_OR_SENTENCE = re.compile(r"\n|(?<=\w\w[.!?])\s+")
+LETTER = re.compile(r"[^\W\d_]")
+#: Words from which on capitals are taken as the way that a part is written; names have four at most.
+SHOUTED = 5
 
 # Phrases that stand right before and after names.
 BEFORE_NAME = re.compile(
@@ -233,10 +238,39 @@ def _context_of_name(text: str, start: int, end: int) -> int:
     return 0
 
 
-def _names(f: _Found) -> None:
+def _not_capitals(text: str) -> list[tuple[int, int]]:
+    """The parts of a text that don't stand in capitals.
+
+    A line or sentence stands in capitals if most of its words do; a run of them counts from ``SHOUTED`` words on, as
+    less may be a name by itself, or if it is the whole text.
+    """
+    if not TWO_CAPITALS.search(text):
+        return [(0, len(text))]
+    runs: list[list[int]] = []  # start, whether in capitals, words
+    at = 0
+    for end, following in [*((m.start(), m.end()) for m in LINE_OR_SENTENCE.finditer(text)), (len(text), len(text))]:
+        part = text[at:end]
+        if LETTER.search(part):
+            words = [w for w in part.split() if LETTER.search(w)] if TWO_CAPITALS.search(part) else []
+            shouted = sum(map(str.isupper, words)) > 0.6 * len(words)
+            if runs and runs[-1][1] == shouted:
+                runs[-1][2] += len(words)
+            else:
+                runs.append([at, shouted, len(words)])
+        at = following
+    parts: list[tuple[int, int]] = []
+    for (start, shouted, n_words), end in zip(runs, [*(r[0] for r in runs[1:]), len(text)]):
+        if shouted and (n_words >= SHOUTED or len(runs) == 1):
+            continue
+        if parts and parts[-1][1] == start:
+            start = parts.pop()[0]
+        parts.append((start, end))
+    return parts
+
+
+def _names(f: _Found, lines: str) -> None:
+    """``lines`` is the text with its line breaks."""
     text = f.text
-    letters = [c for c in text[:400] if c.isalpha()]
-    upper = sum(c.isupper() for c in letters) > 0.6 * max(1, len(letters))
     last_end = -1
     taken: list[tuple[int, int]] = []
 
@@ -257,8 +291,8 @@ def _names(f: _Found) -> None:
         taken.append((start, end))
         f.add("name", start, end, form, 0, context, "." if titled and not given else given, family)
 
-    if not upper:
-        for m in NAME.finditer(text):
+    for part in _not_capitals(lines):
+        for m in NAME.finditer(text, *part):
             start, end = m.start(), m.end()
             if not TITLED.match(m.group()):
                 tokens = list(re.finditer(r"\S+", m.group()))
@@ -327,7 +361,7 @@ def candidates(text: str | None) -> list[tuple]:
     if digits:
         _addresses(f, digits)
         _numbers(f, digits)
-    _names(f)
+    _names(f, text)
     return f.rows
 
 

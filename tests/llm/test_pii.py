@@ -36,6 +36,16 @@ def test_name_candidates():
     assert names("Brackwell Holdings Ltd renewed the contract.") == []
 
 
+def test_capitals_hide_only_their_own_lines():
+    names = lambda text: [text[c[1] : c[2]] for c in candidates(text) if c[0] == "name"]
+    banner = "ALL STAFF ARE ASKED TO READ THIS NOTICE BEFORE THE NEXT SHIFT.\n" * 8
+    prose = "Later that day Anna Berg and Omar Falk closed the case. " * 3
+    assert names(banner + prose) == names(prose) == ["Anna Berg", "Omar Falk"] * 3
+    assert names(prose * 4 + "\n" + banner + prose) == ["Anna Berg", "Omar Falk"] * 15
+    assert names(prose + "\nANNA BERG\n" + prose) == [*["Anna Berg", "Omar Falk"] * 3, "ANNA BERG", *["Anna Berg", "Omar Falk"] * 3]
+    assert names("PLEASE CALL ANNA BERG") == []
+
+
 def test_estimate_tells_labelers_apart():
     counts = {(1, 1, 1): 500, (1, 0, 1): 300, (1, -1, -1): 250, (-1, -1, -1): 900, (-1, 0, 0): 700, (1, 0, 0): 40}
     p = estimate_reliabilities(counts.items())
