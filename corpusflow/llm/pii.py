@@ -447,11 +447,20 @@ def fit_classifier(votes: np.ndarray, mask: np.ndarray, before: np.ndarray, afte
 
 
 def fit(spans: DataFrame, fit_rows: int = FIT_ROWS) -> dict[str, np.ndarray]:
-    """The weights for each kind. Vote patterns are counted over all spans; ``fit_rows`` bounds the different feature rows fitted on."""
+    """The weights for each kind. Vote patterns are counted over all spans; ``fit_rows`` bounds the different feature rows fitted on.
+
+    Where there are more, a fifth of them is kept for each kind, as far as it has so many; the rest goes by hash to any.
+    """
     votes = ["form", "gazetteer", "context"]
-    counted = checkpointed(spans.groupBy("kind", *votes, "mask", "before", "after").agg(F.count("*").alias("n")))
+    features = ["kind", *votes, "mask", "before", "after"]
+    counted = checkpointed(spans.groupBy(*features).agg(F.count("*").alias("n")))
     patterns = counted.groupBy("kind", *votes).agg(F.sum("n").alias("n")).toPandas()
-    rows = counted.orderBy(F.xxhash64("kind", *votes, "mask", "before", "after")).limit(fit_rows).toPandas()
+    rows = counted.orderBy(F.xxhash64(*features)).limit(fit_rows).toPandas()
+    if len(rows) >= fit_rows:
+        # Read kind by kind, so no sort holds more than the rows kept.
+        share = max(1, fit_rows // len(KINDS))
+        kept = pd.concat([counted.where(F.col("kind") == kind).orderBy(F.xxhash64(*features)).limit(share).toPandas() for kind in KINDS])
+        rows = pd.concat([kept, rows]).drop_duplicates(features).head(max(fit_rows, len(kept)))
     weights = {}
     for kind in KINDS:
         own = patterns[patterns["kind"] == kind]

@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from corpusflow.llm.pii import candidates, estimate_reliabilities, free_texts, mentions, redacted
+from corpusflow.llm.pii import candidates, estimate_reliabilities, fit, free_texts, mentions, redacted
 
 
 def likely(text):
@@ -79,6 +79,12 @@ def test_mentions_and_placeholders(spark):
     assert clean["q0"] == "My name is [NAME] and you can reach me at [EMAIL]." and clean["q2"].startswith("Order 867") and clean["empty"] == ""
 
 
+def test_rare_kind_is_fitted(spark):
+    columns = "kind string, form int, gazetteer int, context int, mask int, before int, after int"
+    rows = [("name", 1, 0, 1, i % 128, i % 100, i % 90) for i in range(600)] + [("email", 1, 1, 1, 1, 2, 3)] * 50 + [("phone", 1, 0, 1, 4, 5, 6)]
+    assert set(fit(spark.createDataFrame(rows, columns), fit_rows=20)) == {"name", "email", "phone"}
+
+
 def test_nothing_to_find(spark):
     texts = spark.createDataFrame([], "table_name string, row_id string, text string")
     assert mentions(texts).count() == 0
