@@ -3,7 +3,8 @@
 Texts above ``CHUNK`` characters are split into chunks, at a line's end if there is one, else at a blank, else anywhere. Each
 chunk gives counts that add up: a word or line belongs to the chunk in which it starts, and a chunk carries what its
 start and end cut through, so that the sums are those of the whole text. Chunks of one text are spread over tasks and
-their counts merged by aggregation with map-side sums; shorter texts are counted where they are read.
+their counts merged by aggregation with map-side sums; shorter texts are counted where they are read. Forms don't add
+up, as repetition, blocks and marked lines are judged over all of a text, so every text's form is told from the whole.
 """
 
 from __future__ import annotations
@@ -182,8 +183,8 @@ def form_of(text: str, tokens: list[str] | None = None) -> dict[str, int]:
     return sums
 
 
-def count_chunk(text: str, cut_start: bool = False, cut_end: bool = False, before: str = "", open_line: bool = False) -> tuple[int, ...]:
-    """The counts in ``COUNTS`` of a chunk."""
+def count_chunk(text: str, cut_start: bool = False, cut_end: bool = False, before: str = "", open_line: bool = False, with_forms: bool = True) -> tuple[int, ...]:
+    """The counts in ``COUNTS`` of a chunk; without ``with_forms`` those of forms are 0."""
     found = WORD.findall(text.lower())
     starts_word = cut_start and bool(found) and WORD.match(text) is not None
     ends_word = cut_end and bool(found) and text[-1:].isalnum()
@@ -198,7 +199,7 @@ def count_chunk(text: str, cut_start: bool = False, cut_end: bool = False, befor
         if last.strip():
             n_lines += not (i == 0 and before.strip())
             punct += last in PUNCT and not goes_on
-    forms = form_of(text, found)
+    forms = form_of(text, found) if with_forms else dict.fromkeys(KINDS, 0)
     return (
         len(text), len(found) - starts_word, sum(map(len, found)), len(SYMBOL.findall(text)), n_lines, punct,
         sum(map(COMMON.__contains__, whole)), *(forms[k] for k in KINDS),
@@ -213,16 +214,28 @@ def _split(texts: pd.Series) -> pd.Series:
     return pd.Series([[dict(zip(("text", "cut_start", "cut_end", "before", "open_line"), piece)) for piece in split_text(t)] for t in texts])
 
 
-def _counted(pieces: DataFrame) -> DataFrame:
+def _counted(pieces: DataFrame, with_forms: bool = True) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [count_chunk(*x) for x in zip(batch["text"], batch["cut_start"], batch["cut_end"], batch["before"], batch["open_line"])]
+            rows = [count_chunk(*x, with_forms) for x in zip(batch["text"], batch["cut_start"], batch["cut_end"], batch["before"], batch["open_line"])]
             counts = pd.DataFrame(rows, columns=list(COUNTS), dtype="int64")
             yield pd.concat([batch[["doc_id", "text_key"]].reset_index(drop=True), counts], axis=1)
 
     return pieces.mapInPandas(count, "doc_id long, text_key long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
+def _forms(texts: DataFrame) -> DataFrame:
+    """Rows like those of ``_counted`` with the forms of whole texts and no other counts."""
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            forms = [form_of(t) for t in batch["text"]]
+            counts = pd.DataFrame([[f.get(c.removesuffix("_chars"), 0) for c in COUNTS] for f in forms], columns=list(COUNTS), dtype="int64")
+            yield pd.concat([batch[["doc_id", "text_key"]].reset_index(drop=True), counts], axis=1)
+
+    return texts.mapInPandas(judge, "doc_id long, text_key long, " + ", ".join(f"{c} long" for c in COUNTS))
+
+
 def text_statistics(documents: DataFrame) -> DataFrame:
     """Statistics of each document's text: one row for each doc_id and different text.
 
@@ -233,9 +246,10 @@ def text_statistics(documents: DataFrame) -> DataFrame:
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     no = F.lit(False)
     short = texts.where(F.length("text") <= CHUNK).select("doc_id", "text_key", "text", no.alias("cut_start"), no.alias("cut_end"), F.lit("").alias("before"), no.alias("open_line"))
-    pieces = texts.where(F.length("text") > CHUNK).select("doc_id", "text_key", F.posexplode(_split("text")).alias("piece_no", "piece")).select("doc_id", "text_key", "piece_no", "piece.*")
+    long = texts.where(F.length("text") > CHUNK)
+    pieces = long.select("doc_id", "text_key", F.posexplode(_split("text")).alias("piece_no", "piece")).select("doc_id", "text_key", "piece_no", "piece.*")
     spread = pieces.repartition("doc_id", "piece_no").drop("piece_no")
-    merged = _counted(spread).groupBy("doc_id", "text_key").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    merged = _counted(spread, with_forms=False).unionByName(_forms(long.select("doc_id", "text_key", "text"))).groupBy("doc_id", "text_key").agg(*[F.sum(c).alias(c) for c in COUNTS])
     sums = _counted(short).unionByName(merged)
     share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     most = F.greatest(*[F.col(f"{k}_chars") for k in KINDS])

@@ -66,3 +66,12 @@ def test_statistics(spark):
     assert out[2]["n_words"] == 0 and out[2]["mean_word_length"] == 0 and out[5]["punct_line_share"] == 0.5
     assert out[6]["n_words"] == 12_000 and out[6]["n_chars"] == len(long)
     assert text_statistics(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_form_is_that_of_the_whole_text(spark):
+    rng = random.Random(2)
+    passage = " ".join(rng.choice(["the", "of", "and", "rabbit", "garden", "clock", "letter", "river", "lamp", "stone", "window", "paper", "bread", "chair", "field", "horse", "market", "bridge"]) + "." * (i % 9 == 8) for i in range(700)) + ".\n"
+    text = passage * (80_000 // len(passage))
+    short = passage * (16_000 // len(passage))
+    out = {r["doc_id"]: r["kind"] for r in text_statistics(spark.createDataFrame([(1, text), (2, short)], "doc_id long, text string")).collect()}
+    assert len(text) > 60_000 and out == {1: "junk", 2: "prose"}
