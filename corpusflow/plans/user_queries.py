@@ -41,7 +41,7 @@ def interests(t: Tables) -> DataFrame:
 
 @query(_interests_sql())
 def user_interests(t: Tables) -> DataFrame:
-    """The three topics that each user asked about most."""
+    """The three topics that each user asked about most in their 200 latest entries, as many as a history keeps."""
     return interests(t)
 
 
