@@ -8,6 +8,7 @@ words and scripts, refusals by a grammar of sentences: some sentence declines an
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
 from collections import Counter
@@ -39,56 +40,81 @@ ASKED = {lang: re.compile(rf"\b(?:in|into|auf|ins|en|al|nach|a)\s+(?:{names})\b|
 # Marks and words that stand for nothing.
 PLACEHOLDERS = frozenset("none null nil nan n/a na undefined void tbd todo empty (empty) <empty> <none> <null> [] {} () [empty] [none] [null] [no answer] <no answer> (none) (no answer) #n/a k.a. s.o. s/o".split() + ["no answer", "not available"])
 
-# Sentences that decline, by language; each is looked for anywhere in a sentence.
-DECLINES = {
-    "en": [
-        r"\b(?:i|we)(?: am|'m| are|'re)? (?:really |simply |currently )?(?:not able|unable|not in a position|not allowed|not permitted) to\b(?! find the page)",
-        r"\b(?:i|we) (?:can ?not|can't|can’t|won't|won’t|will not|would not|could not|couldn't|may not|must not)\b(?: be able to)? (?:answer|help|assist|provide|share|disclose|give|say|tell|comment|discuss|respond|find|offer|go into|determine|confirm)",
-        r"\b(?:i|we) (?:really )?(?:do not|don't|don’t|did not|didn't) (?:know|have (?:any |enough |the |sufficient )*(?:context|information|data|knowledge|answer|access|details|idea)|find (?:any|an|the))",
-        r"\b(?:i|we) (?:have to|must|need to|should) (?:decline|refrain|pass)\b",
-        r"\bsomething i have to decline\b|\bi have no (?:answer|information|idea|knowledge)\b",
-        r"\bno answer (?:can|could|is)\b|\bthere is no answer\b",
-        r"\b(?:passages?|documents?|sources?|context|excerpts?)\b.{0,40}\b(?:do(?:es)? not|don't|doesn't|did not) (?:let|allow|permit|enable) me\b",
-        r"\b(?:none|nothing)\b.{0,60}\b(?:sources?|passages?|documents?|access to|context|excerpts?)\b.{0,40}\b(?:cover|covers|mention|mentions|tell|tells|say|says|address|answer)",
-        r"\bi (?:found|find|see) (?:nothing|no (?:answer|information|mention))\b",
-        r"\bwould rather not\b|\bprefer not to\b",
-        r"\binappropriate for me\b|\boutside (?:of )?what i (?:may|can|am)\b|\btold to stay away\b|\bbeyond (?:my guidelines|what i (?:may|can))\b",
-        r"^no comment\b|\bi will leave it at that\b|\bbest taken up with\b",
-        r"\bthe question stays open\b",
-        r"\b(?:not|no longer) something i (?:can|may|am able to)\b",
-    ],
-    "de": [
-        r"\bich (?:kann|darf|möchte|werde|will)\b.{0,60}\b(?:nicht|keine?n?|nichts)\b.{0,40}(?:beantworten|helfen|antworten|raten|sagen|geben|äußern|sprechen|auskunft|weiterhelfen|mitteilen)",
-        r"\b(?:dabei|dazu|darauf|hier|damit|da|hierzu)\b.{0,12}\b(?:kann|darf|möchte|werde) ich\b.{0,30}\b(?:nicht|keine?n?|nichts)\b",
-        r"\bich weiß (?:es|das|darauf|die antwort)?\s?(?:leider )?(?:nicht|keine)\b|\bweiß ich (?:leider )?nicht\b",
-        r"\bich habe\b.{0,30}\b(?:nicht genug|keine|nicht genügend|zu wenig)\b.{0,20}(?:kontext|informationen|angaben|antwort|auskunft|daten)",
-        r"\bmuss ich ablehnen\b|\bich muss\b.{0,40}\bablehnen\b",
-        r"\bmir fehlen\b|\bliegt außerhalb dessen\b|\bdazu äußere ich mich nicht\b",
-        r"\bkeine (?:der|von den) quellen\b|\bfindet sich nichts\b|\bdie frage bleibt (?:also )?offen\b|\bmöchte ich nicht raten\b",
-        r"\bmehr kann ich nicht sagen\b|\bbesprechen sie am besten\b",
-        r"\bkeine (?:antwort|auskunft) (?:möglich|geben)\b|\bkeine antwort\b.{0,20}\bmöglich\b|\bkein kommentar\b",
-        r"\b(?:lässt|lassen|erlaubt|erlauben)\b.{0,30}\b(?:keine antwort|nicht)\b.{0,12}\b(?:zu|antworten)\b",
-        r"\bnicht in der lage\b",
-    ],
-    "fr": [
-        r"\bje ne (?:peux|puis|pourrai|saurais|suis|sais|connais|dispose|ferai|trouve|dirai|souhaite|veux)\b.{0,25}\b(?:pas|rien|aucune?)\b",
-        r"\bje n['’](?:ai|arrive|y)\b.{0,15}\b(?:pas|aucune?|rien)\b.{0,30}\b(?:contexte|informations?|réponse|accès|trouvé|éléments|assez)\b",
-        r"\bil m['’]est impossible\b|\bje (?:dois|préfère|me vois)\b.{0,25}\b(?:décliner|refuser|ne pas|m['’]abstenir)\b",
-        r"\b(?:contexte|documents?|extraits?|sources?|passages?)\b.{0,20}\bne (?:me )?(?:permet|permettent|permettant)\b.{0,12}\bpas\b",
-        r"\baucune (?:des sources|réponse)\b|\brien dans les (?:extraits|documents|sources|passages)\b|\bla question reste (?:donc )?ouverte\b",
-        r"\bdépasse ce dont je peux parler\b|\bje m['’]en tiendrai là\b|\bil vaut mieux voir cela\b|\bpas de commentaire\b|\bne pas deviner\b",
-    ],
-    "es": [
-        r"\bno (?:puedo|podré|sé|dispongo|tengo|conozco|soy capaz|estoy|encuentro|me es posible|me está permitido|diré|voy a)\b.{0,45}\b(?:responder|ayudar(?:le|te)?|facilitar|información|contexto|respuesta|posible|contestar|decir|comentar|acceso|condiciones|más|datos)\b",
-        r"\bno (?:lo )?sé\b|\bdesconozco\b|\bno conozco la respuesta\b|\bno me es posible\b|\bme resulta imposible\b",
-        r"\b(?:debo|tengo que|prefiero|he de) (?:rechazar|declinar|no |abstenerme)",
-        r"\b(?:contexto|documentos?|pasajes?|fuentes?|fragmentos?)\b.{0,20}\bno me (?:permiten?|dejan?)\b",
-        r"\b(?:ninguna de las fuentes|nada en los (?:pasajes|documentos|fragmentos)|la pregunta queda abierta)\b",
-        r"\bqueda fuera de lo que puedo\b|\bsin comentarios\b|\bno diré más\b|\bprefiero no adivinar\b|\bes mejor tratarlo\b",
-        r"\bno (?:hay|existe|cabe|se puede dar|es posible dar)\b.{0,12}\brespuesta\b",
-    ],
+# The grammar of refusals. Words are classes of one letter or more, and the rules below are read over a sentence's classes.
+# The words of each class, of English, German, French and Spanish; forms that hold a subject or a negation have several.
+CLASSES = {
+    "S": "i we ich wir je j nous yo nosotros",
+    "T": "me us my myself mir mich uns m moi me",
+    "N": "not no none nothing never nor nicht nichts kein keine keinen keiner keinem keinerlei nie pas rien aucun aucune jamais ni sin nada ninguna ninguno ningún ne n",
+    "M": "can ca could wo may might will would shall able allowed permitted position kann können könnte darf dürfen dürfte möchte möchten werde werden will wollen lage befugt peux puis pouvons pourrai pourrais saurais veux voulons souhaite souhaitons mesure capable autorisé autorisée dirai",
+    "J": "must should have-to has-to need-to ought-to told-to asked-to instructed-to required-to supposed-to obliged-to muss müssen soll sollte dois devons faut hay-que",
+    "V": "answer respond reply help assist comment say tell discuss advise guess speculate elaborate determine confirm explain go-into talk speak beantworten antworten helfen weiterhelfen raten sagen äußern äußere sprechen mitteilen auskunft kommentieren kommentar beurteilen répondre aider parler dire commenter commentaire commentaires deviner indiquer traiter fournir donner responder contestar ayudar ayudarle ayudarte decir comentar comentarios comentario hablar adivinar indicar opinar facilitar",
+    "G": "give provide share disclose offer find reveal supply release see found geben nennen teilen herausgeben finden finde fand findet trouve trouvé partager divulguer encuentro encontré compartir revelar proporcionar dar",
+    "I": "answer answers reply response information info details detail context data knowledge idea access antwort antworten auskunft information informationen angaben kontext daten hinweis hinweise réponse réponses information informations contexte éléments données accès idée respuesta respuestas información contexto datos acceso idea this that it das dies ça cela esto eso",
+    "K": "know weiß wissen sais savons connais connaissons",
+    "H": "have possess habe haben ai avons dispose disposons possède",
+    "D": "decline refuse refrain abstain avoid pass stay-away steer-clear ablehnen verweigern verzichten unterlassen décliner refuser abstenir éviter rechazar declinar abstenerme evitar rehusar",
+    "P": "rather prefer lieber préfère préférons",
+    "U": "source sources passage passages document documents excerpt excerpts text texts material quelle quellen abschnitt abschnitte abschnitten dokument dokumente dokumenten textstellen unterlagen extrait extraits fuente fuentes pasaje pasajes documento documentos fragmento fragmentos contexto contexte context kontext",
+    "C": "cover covers mention mentions say says tell tells address addresses state contain contains show shows behandelt behandeln erwähnt erwähnen sagt sagen nennt enthält enthalten steht traite traitent mentionne mentionnent dit disent indique indiquent parlent parle trata tratan menciona mencionan dice dicen indica indican contiene contienen",
+    "E": "let lets allow allows permit permits enable lässt lassen erlaubt erlauben ermöglichen permet permettent permettant permite permiten deja dejan",
+    "Z": "inappropriate improper impossible unangebracht unangemessen unmöglich inapproprié impossible inapropiado imposible",
+    "L": "possible möglich posible",
+    "F": "lack lacks fehlt fehlen manque manquent falta faltan",
+    "B": "outside beyond außerhalb jenseits dépasse dépassent hors excede fuera",
+    "Q": "question frage pregunta",
+    "O": "open unanswered offen unbeantwortet ouverte abierta",
+    "R": "best better besten besser mieux préférable mejor preferible",
+    "W": "with mit avec con",
+    "Y": "your ihrem ihrer ihren deinem votre vos ton su sus tu",
+    "MN": "unable",
+    "SM": "i'd i'll i'm puedo podemos podré podría quiero queremos voy soy estoy",
+    "SK": "sé sabemos conozco",
+    "NSK": "desconozco desconocemos ignoro",
+    "SH": "tengo tenemos dispongo disponemos cuento",
+    "SJ": "debo debemos tengo-que he-de",
+    "SP": "prefiero preferimos",
+    "SV": "diré diremos comentaré responderé contestaré opinaré",
 }
-DECLINE = re.compile("|".join(p for patterns in DECLINES.values() for p in patterns))
+NOT = re.compile(r"n't\b|(?<=\bcan)not\b")
+TOKEN = re.compile(r"[a-z]+-(?:to|into|away|clear|que|de)\b|i'(?:m|d|ll|ve)\b|[^\W\d_]+|\d+")
+_CODES: dict[str, str] = {}
+for _code, _words in CLASSES.items():
+    for _word in _words.split():
+        _CODES[_word] = _CODES.get(_word, "") + _code
+TWO_WORDS = re.compile(r"\b(have|has|need|ought|told|asked|instructed|required|supposed|obliged|go|stay|steer|hay|tengo|he) (to|into|away|clear|que|de)\b")
+
+
+def _rule(parts: str) -> str:
+    """A rule's parts as a pattern of class strings: classes that a token may have, ``A&B`` for both, a number for the most tokens between."""
+    out = ""
+    for part in parts.split():
+        out += rf"(?:\S+ ){{0,{part}}}" if part.isdigit() else r"\S*" + r"\S*".join(f"[{c}]" for c in part.split("&")) + r"\S* "
+    return out
+
+
+#: What declines: the parts that a sentence has one after the other.
+RULES = {
+    "is unable to speak": ("S 2 M 1 N 4 V", "S 1 N 6 V", "S 2 M 6 N 3 V", "M S 5 N 4 V", "V S 2 N", "N S&M 4 V", "N S&V"),
+    "is unable to give": ("S 2 M 1 N 4 G 3 I", "M S 3 N I", "S 2 M 4 N 1 I", "N S&M 2 GV 2 I"),
+    "doesn't know": ("S 1 N 2 K", "S K 2 N", "K S 2 N", "N S&K", "N 1 S&K", "N&S&K"),
+    "has nothing": ("S 2 N 1 H 4 I", "S H 3 N 3 I", "N S&H 4 I", "S 1 G 1 N", "T 1 F 4 I"),
+    "has to decline": ("S 3 J 3 D", "J S 5 D", "S 3 J 6 D", "S&J 2 D", "S 1 P 3 N", "S&P 2 N", "S 2 P D", "S&P D"),
+    "finds the sources silent": ("N 3 U 8 C", "U 8 N 1 C", "N 6 C 1 T", "N 4 T 1 C", "U 3 N 1 E 1 T", "U 2 N 1 T 1 E", "U 2 T 1 E 2 N", "U 3 E 3 N", "U 6 G 2 N"),
+    "finds it impossible": ("Z 2 T", "T 2 Z", "N T 2 L", "N I 2 MSL"),
+    "is out of scope": ("B 5 S 2 MV", "B 3 S&M", "B 3 T"),
+    "leaves it open": ("Q 3 O",),
+    "sends elsewhere": ("R 4 W Y",),
+}
+DECLINE = re.compile("|".join([*(_rule(parts) for rules in RULES.values() for parts in rules), "^" + _rule("N 1 V") + r"(?:\S+ ){0,4}$"]))
+#: Words without which nothing is declined: negations and what declines by itself.
+TELLING = frozenset(p for w, c in _CODES.items() if set(c) & set("NDZBFR") for p in w.split("-")) | {"cannot"}
+
+
+def classes(sentence: str) -> str:
+    """The classes of a lower-case sentence's words, each followed by a blank; a dot stands for a word of none."""
+    joined = TWO_WORDS.sub(r"\1-\2", NOT.sub(" not", sentence))
+    return "".join(_CODES.get(w, ".") + " " for w in TOKEN.findall(joined))
 # Sentences around a refusal that add nothing to it.
 AROUND = re.compile(
     r"^(?:i'?m |i am |we are )?(?:very |so |terribly )?(?:sorry|apologies|my apologies|unfortunately|regrettably|sadly)\b.{0,40}$|^thank(?:s| you)\b|^that'?s a (?:great|good) question|^(?:please )?(?:contact|ask|reach out|try|rephrase|consult|check with|get in touch)\b|^is there anything else|^(?:let me know|feel free|how else)\b|^as an? (?:ai|assistant|language)\b.{0,40}$|^let me be"
@@ -97,14 +123,16 @@ AROUND = re.compile(
     r"|^(?:lo siento|lamentablemente|por desgracia|disculpe|perdón|lamento)\b.{0,40}$|^gracias\b|^(?:contacte|consulte|intente|reformule|póngase|pregunte|diríjase|pruebe|hable)|^¿?(?:puedo|hay|desea|necesita|quiere)\b|^buena pregunta"
 )
 
-ELIDED = re.compile(r"\bn'|\bm'|besprechen sie")
 MARKS = re.compile(r"```|[()\[\]{}\"„“”«»]|<(/?)([a-zA-Z][a-zA-Z0-9]*)(?:\s[^<>]*)?(/?)>")
 CLOSES = {")": "(", "]": "[", "}": "{", "»": "«", "”": "“"}
+# Articles, prepositions and conjunctions, which no phrase ends with.
+LEADS_ON = frozenset("the a an and or but of to with from for by at your our their its because if when which der die das den dem des ein eine einen einem einer und oder mit von zum zur für bei ihre ihren weil wenn dass le la les un une des du et ou avec sans pour par dans votre vos notre el los las una unos y o con sin para por del su sus porque".split())
 VOID_TAGS = frozenset("br hr img input meta link".split())
 ITEM = re.compile(r"^\s*(?:[-*•+–]|\d{1,3}[.)]|[a-zA-Z][.)])(?:\s+|$)")
 CITATION = re.compile(r"(?:\s*(?:\[\d+(?:\s*,\s*\d+)*\]|\(\d+\)))+\s*$")
 SENTENCE_END = re.compile(r"[.!?…。！？][\"'”“’»)\]*_]*$")
 SENTENCES = re.compile(r"(?<=[.!?…])\s+|\n+")
+INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2028-\u202e\u2060-\u2064\ufeff]")
 SHORT = 5
 
 
@@ -113,13 +141,14 @@ def words(text: str) -> list[str]:
 
 
 def is_empty(answer: str | None) -> bool:
-    """Whether nothing is said: null, blanks and invisible characters, punctuation alone, or a placeholder."""
+    """Whether nothing is said: null, blanks and invisible characters, punctuation alone, or a placeholder, whatever blanks are around it."""
     if answer is None:
         return True
-    if len(answer) > 40:
-        return not any(c.isalnum() for c in answer)
-    seen = "".join(c for c in answer if not c.isspace() and unicodedata.category(c) not in ("Cf", "Cc")).lower()
-    return not any(c.isalnum() for c in seen) or " ".join(answer.split()).strip("​﻿ \"'`*_").lower() in PLACEHOLDERS
+    seen = (answer if answer.isascii() else INVISIBLE.sub("", answer)).split(None, 3)
+    if any(c.isalnum() for part in seen for c in part):
+        # A placeholder has three words at most.
+        return len(seen) < 4 and " ".join(seen).strip("\"'`*_").lower() in PLACEHOLDERS
+    return True
 
 
 def left_open(answer: str) -> bool:
@@ -162,8 +191,9 @@ def left_open(answer: str) -> bool:
 def is_truncated(answer: str) -> bool:
     """Whether something is left open, or the last sentence, item or row is unfinished.
 
-    Complete are answers of up to five words, lists whose last item has text, tables whose last row has as many cells
-    as the first, and what ends with a mark that ends sentences, citations and closing quotation marks aside.
+    Complete are lists whose last item has text, tables whose last row has as many cells as the first, and what ends with
+    a mark that ends sentences, citations and closing quotation marks aside. Of the rest, which ends without a mark, a
+    phrase of up to five words is complete unless its last word leads on, as articles and prepositions do, or a mark does.
     """
     text = CITATION.sub("", answer.rstrip())
     if left_open(text):
@@ -178,55 +208,99 @@ def is_truncated(answer: str) -> bool:
         return not last[item.end() :].strip() or last[-1] in ",:;-–("
     if last.endswith("```"):
         return False
-    return not SENTENCE_END.search(last.rstrip("*_ ")) and (len(answer.split()) > SHORT or last[-1:] in ",:;(-–")
-
-
-# A sentence that declines has one of these words, or words that start so.
-NEGATIONS = frozenset("not can't don't won't cannot couldn't didn't unable no none nothing decline refrain rather inappropriate outside stay beyond best prefer pass nicht keine kein keinen nichts ablehnen fehlen außerhalb team ne pas rien aucune impossible refuser décliner dépasse m'en mieux ne je sin ninguna nada fuera mejor rechazar imposible desconozco declinar más".split()) - {"team", "je"}
+    if SENTENCE_END.search(last.rstrip("*_ ")):
+        return False
+    final = words(last)[-1:]
+    return len(answer.split(None, SHORT)) > SHORT or last[-1:] in ",:;(-–" or len(words(last)) > 1 and final[0] in LEADS_ON
 
 
 def is_refusal(answer: str, said: list[str] | None = None) -> bool:
     """Whether some sentence declines and no other says anything. ``said``: the answer's words, if at hand."""
     text = answer.strip().lower().replace("’", "'")
-    if NEGATIONS.isdisjoint(words(text) if said is None else said) and not ELIDED.search(text):
+    # Words of an elision or a contraction are looked up by their parts too.
+    if not any(w in TELLING or "'" in w and (w.endswith("n't") or not TELLING.isdisjoint(w.split("'"))) for w in (words(text) if said is None else [w.replace("’", "'") for w in said])):
         return False
     declined = False
     for sentence in SENTENCES.split(CITATION.sub("", text)):
         sentence = sentence.strip(" -–*_>#\"")
         if not sentence:
             continue
-        if DECLINE.search(sentence):
+        if DECLINE.search(classes(sentence)):
             declined = True
         elif not AROUND.search(sentence) and WORD.search(sentence):
             return False
     return declined
 
 
+def _automaton(tokens: list[str]) -> tuple[list[dict[str, int]], list[int], list[int]]:
+    """The suffix automaton of a list of words: steps, suffix links and lengths of its states."""
+    steps, link, length, last = [{}], [-1], [0], 0
+    for token in tokens:
+        new = len(steps)
+        steps.append({})
+        length.append(length[last] + 1)
+        link.append(0)
+        at = last
+        while at >= 0 and token not in steps[at]:
+            steps[at][token] = new
+            at = link[at]
+        if at >= 0:
+            reached = steps[at][token]
+            if length[reached] == length[at] + 1:
+                link[new] = reached
+            else:
+                copy = len(steps)
+                steps.append(dict(steps[reached]))
+                length.append(length[at] + 1)
+                link.append(link[reached])
+                while at >= 0 and steps[at].get(token) == reached:
+                    steps[at][token] = copy
+                    at = link[at]
+                link[reached] = link[new] = copy
+        last = new
+    return steps, link, length
+
+
+def runs_of(question: list[str], answer: list[str], least: int) -> list[tuple[int, int]]:
+    """(length, start) of the answer's maximal runs of ``least`` words or more that the question has too, in linear time."""
+    steps, link, length = _automaton(question)
+    out, state, n = [], 0, 0
+    for end, token in enumerate([*answer, None]):
+        before = n
+        while state and token not in steps[state]:
+            state = link[state]
+            n = length[state]
+        if token in steps[state]:
+            state, n = steps[state][token], n + 1
+        else:
+            n = 0
+        # The run that ended at the word before can't be drawn out by this one.
+        if before >= least and n <= before:
+            out.append((before, end - before))
+    return out
+
+
 def tiles(question: list[str], answer: list[str], least: int) -> list[bool]:
     """Which words of the answer greedy string tiling covers with runs of ``least`` or more of the question's words.
 
-    The longest runs are laid first and do not overlap in the answer; a run of the question may be used again.
+    The longest tiles are laid first and do not overlap in the answer. A tile that a longer one has cut is looked at
+    again when its rest's turn comes, as every match in what is left lies in the rest of a maximal one. Words of the
+    question aren't marked, since a copy may repeat it. Takes n log n of the number of words, however often they repeat.
     """
-    starts: dict[tuple[str, ...], list[int]] = {}
-    for i in range(len(question) - least + 1):
-        starts.setdefault(tuple(question[i : i + least]), []).append(i)
-    runs, reached = [], 0
-    for i in range(len(answer) - least + 1):
-        longest = 0
-        for j in starts.get(tuple(answer[i : i + least]), ()):
-            n = least
-            while i + n < len(answer) and j + n < len(question) and answer[i + n] == question[j + n]:
-                n += 1
-            longest = max(longest, n)
-        if i + longest > reached:
-            runs.append((longest, i))
-            reached = i + longest
     covered = [False] * len(answer)
-    for n, i in sorted(runs, key=lambda r: (-r[0], r[1])):
-        free = [k for k in range(i, i + n) if not covered[k]]
-        if len(free) >= least or len(free) == n:
-            for k in free:
-                covered[k] = True
+    heap = [(-n, i) for n, i in runs_of(question, answer, least)]
+    heapq.heapify(heap)
+    while heap:
+        n, i = heapq.heappop(heap)
+        start, end = i, i - n
+        while start < end and covered[start]:
+            start += 1
+        while start < end and covered[end - 1]:
+            end -= 1
+        if end - start == -n:
+            covered[start:end] = [True] * (end - start)
+        elif end - start >= least:
+            heapq.heappush(heap, (start - end, start))
     return covered
 
 

@@ -1,6 +1,10 @@
 """Defects of answers, one by one and in a table."""
 
+import time
+
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from corpusflow.llm.pairs import broken_pairs, defect_of, left_open, tiles
 
@@ -45,3 +49,43 @@ def test_table(spark):
     frame = spark.createDataFrame(rows, "id string, question string, answer string, defect int")
     assert sorted(map(tuple, broken_pairs(frame).collect())) == [("1", "empty"), ("3", "truncated")]
     assert broken_pairs(frame.where("false")).count() == 0
+
+
+def test_placeholders_whatever_is_around_them():
+    for answer in ("N/A", " " * 200 + "N/A", "N/A" + "\n" * 100, "​" * 90 + "n/a", "  **none**  "):
+        assert defect_of("What is the limit?", answer) == "empty"
+    assert defect_of("What is the limit?", "None of the plans has one.") is None
+
+
+def test_short_answers_are_truncated_where_their_last_word_leads_on():
+    assert defect_of("Where is it?", "It is stored in the") == "truncated"
+    assert defect_of("Wo liegt es?", "Im Ordner für die") == "truncated"
+    assert defect_of("How many?", "Two approvals") is None
+
+
+def test_refusals_by_grammar_in_words_of_other_texts():
+    declined = [
+        "I won't discuss this.", "I'd rather not say.", "We are unable to comment.", "I have been instructed to avoid political subjects.", "That is beyond my remit, sorry.",
+        "Dazu kann ich leider nichts sagen.", "Ich möchte mich dazu nicht äußern.", "Das weiß ich leider nicht.", "Je préfère ne pas répondre.", "Je n'ai aucune information à ce sujet.",
+        "Prefiero no opinar sobre eso.", "No tengo información sobre ese tema.", "Sorry, I couldn't find anything about that.",
+    ]
+    told = ["We do not store card numbers.", "You cannot share reports with guests.", "No, we do not give refunds after 30 days.", "Nothing in the archive covers this topic.", "I can't answer this. The limit is 5 GB.", "Nein, das Limit gilt nicht für Gäste."]
+    assert [a for a in declined if defect_of("What is that?", a) not in ("refusal", "wrong_language")] == []
+    assert [a for a in told if defect_of("What is that?", a) == "refusal"] == []
+
+
+def test_tiling_takes_long_repetitions():
+    began = time.perf_counter()
+    assert defect_of(" ".join(["yes"] * 5000), " ".join(["yes"] * 5001)) == "copy"
+    assert sum(tiles(["a", "b"] * 3000, ["b", "a"] * 3000, 3)) == 5999
+    assert time.perf_counter() - began < 2
+
+
+@given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abcd"), max_size=14))
+def test_tiling_covers_what_trying_all_runs_covers(question, answer):
+    runs = {(n, i) for i in range(len(answer)) for n in range(2, len(answer) - i + 1) if any(question[j : j + n] == answer[i : i + n] for j in range(len(question)))}
+    covered = [False] * len(answer)
+    for n, i in sorted(runs, key=lambda r: (-r[0], r[1])):
+        if not any(covered[i : i + n]):
+            covered[i : i + n] = [True] * n
+    assert tiles(question, answer, 2) == covered
