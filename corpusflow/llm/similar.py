@@ -1,9 +1,9 @@
 """Most similar vectors for every vector, by collision-counting hashing.
 
 Every vector is projected onto ``n_projections`` random directions, and the rows of a block are kept as one
-sorted array per direction. A query's window in a sorted array is centred on its own projection and ``radius``
-wide; virtual rehashing widens it from one radius to the next for the queries that haven't got ``k`` near rows
-yet. Rows that lie in the windows of at least ``threshold`` of the directions are verified by their cosine.
+sorted array per direction. A query's window in a sorted array is centred on its own projection; virtual rehashing
+widens it from one radius to the next, reading only what is new, for the queries that haven't got ``k`` near rows
+yet. Rows that lie in the windows of at least a ``share`` of the directions are verified by their cosine.
 
 A block is a whole (store, namespace) up to ``block_rows`` rows. A larger namespace is cut by the signs of
 further random projections, in as many tables as ``route_recall`` takes. A cell that is still too large, as one in
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ from corpusflow.session import broadcast_if_small, checkpointed
 
 SPACE = ("store_name", "namespace")
 ROUTE_BITS = 40
+#: Classes of more exact copies than this are joined without being shuffled by class; of n rows at most n / LARGE_CLASS are so large.
+LARGE_CLASS = 10_000
 
 
 def latest_versions(vectors: DataFrame) -> DataFrame:
@@ -85,54 +88,58 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 def count_collisions(units: np.ndarray, k: int, radii: tuple[float, ...], n_projections: int, share: float, floor: float, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, other row, cosine) of up to ``k`` others with a cosine of ``floor`` or more for each row of a block.
 
-    Ties go to the lower row number. Fewer than ``k`` come out where fewer collide often enough.
+    There is one sorted array for each direction. A query walks each of them outwards from its own place: its window holds
+    what is at most ``radius`` away, and virtual rehashing widens it to the next radius by reading only what is new on
+    both sides. The ids met are counted; those met in ``share`` of the directions are verified, each once. A query is done
+    when ``k`` of the verified lie within the radius. An infinite last radius stands for windows that have grown over
+    whole arrays, where every row is verified. Ties go to the lower row number; fewer than ``k`` come out where fewer are met.
     """
-    n, dim = units.shape
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+    n = len(units)
     if n < 2:
-        return none
-    projected = np.ascontiguousarray((units @ _directions(dim, n_projections, seed)).T)
-    arrays = np.sort(projected, axis=1)
-    kind = np.uint16 if n < 65_000 else np.uint32
-    rank = np.empty(projected.shape, kind)
-    for i, row in enumerate(np.argsort(projected, axis=1, kind="stable")):
-        rank[i, row] = np.arange(n, dtype=kind)
-    threshold, out, pending = math.ceil(share * n_projections), [], np.arange(n)
-    step = max(1, (1 << 19) // n)
-    for level, radius in enumerate(radii):
-        unfinished = []
-        enough = 1 - radius * radius / 2
-        for at in range(0, len(pending), step):
-            rows = pending[at : at + step]
-            hits = np.zeros((len(rows), n), np.uint8)
-            for i in range(n_projections):
-                low = np.searchsorted(arrays[i], projected[i, rows] - radius, "left").astype(kind)
-                high = np.searchsorted(arrays[i], projected[i, rows] + radius, "right").astype(kind)
-                hits += (rank[i] - low[:, None]) < (high - low)[:, None]
-            hits[np.arange(len(rows)), rows] = 0
-            near, other = np.nonzero(hits >= threshold)
-            if len(near) > 0.1 * hits.size:
-                cosine = (units[rows] @ units.T)[near, other]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    projected = np.ascontiguousarray((units @ _directions(units.shape[1], n_projections, seed)).T)
+    order = np.argsort(projected, axis=1, kind="stable")
+    arrays = np.take_along_axis(projected, order, 1)
+    walked = [r for r in radii if np.isfinite(r)]
+    # Where each query's window starts and ends in each array, for each radius.
+    bounds = np.empty((n, len(walked), 2, n_projections), np.int32)
+    for i, array in enumerate(arrays):
+        for level, radius in enumerate(walked):
+            bounds[:, level, 0, i] = np.searchsorted(array, projected[i] - radius, "left")
+            bounds[:, level, 1, i] = np.searchsorted(array, projected[i] + radius, "right")
+    threshold, out, open_rows = math.ceil(share * n_projections), [], []
+    for query in range(n):
+        counts, verified = np.zeros(n, np.int64), np.zeros(0, np.int64)
+        cosines = np.zeros(0, np.float32)
+        done = False
+        for level, radius in enumerate(walked):
+            low, high = bounds[query, level].tolist()
+            if level:
+                inner_low, inner_high = bounds[query, level - 1].tolist()
+                met = [part for ids, a, b, c, d in zip(order, low, inner_low, inner_high, high) for part in (ids[a:b], ids[c:d])]
             else:
-                cosine = np.empty(len(near), np.float32)
-                for a in range(0, len(near), 8192):
-                    b = slice(a, a + 8192)
-                    cosine[b] = np.einsum("ij,ij->i", units[rows[near[b]]], units[other[b]])
-            good = cosine >= floor
-            near, other, cosine = near[good], other[good], cosine[good]
-            order = np.lexsort((other, -cosine, near))
-            near, other, cosine = near[order], other[order], cosine[order]
-            found = np.bincount(near, cosine >= enough, len(rows)) >= k
-            last = level == len(radii) - 1
-            done = found | last
-            place = np.arange(len(near)) - np.searchsorted(near, near, "left")
-            take = done[near] & (place < k)
-            out.append((rows[near[take]], other[take], cosine[take]))
-            unfinished.append(rows[~done])
-        pending = np.concatenate(unfinished) if unfinished else np.zeros(0, np.int64)
-        if not len(pending):
-            break
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else none  # type: ignore[return-value]
+                met = [ids[a:d] for ids, a, d in zip(order, low, high)]
+            before = counts >= threshold
+            counts += np.bincount(np.concatenate(met), minlength=n)
+            new = np.nonzero((counts >= threshold) & ~before)[0]
+            new = new[new != query]
+            if len(new):
+                verified = np.concatenate([verified, new])
+                cosines = np.concatenate([cosines, units[new] @ units[query]])
+            done = np.count_nonzero(cosines >= 1 - radius * radius / 2) >= k
+            if done:
+                break
+        if not done and len(walked) < len(radii):
+            open_rows.append(query)
+            continue
+        good = cosines >= floor
+        verified, cosines = verified[good], cosines[good]
+        best = np.lexsort((verified, -cosines))[:k]
+        out.append((np.full(len(best), query), verified[best], cosines[best].astype(np.float64)))
+    if open_rows:
+        rows = np.array(open_rows)
+        out.append(compare_all(units, None, k, floor, rows))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # type: ignore[return-value]
 
 
 def tables_needed(bits: Column, similarity: float, recall: float) -> Column:
@@ -141,10 +148,10 @@ def tables_needed(bits: Column, similarity: float, recall: float) -> Column:
     return F.when(bits == 0, 1).otherwise(F.ceil(math.log(1 - recall) / F.log(1 - F.pow(F.lit(same), bits)))).cast("int")
 
 
-def compare_all(units: np.ndarray, others: np.ndarray | None, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compare_all(units: np.ndarray, others: np.ndarray | None, k: int, floor: float, queries: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, other row, cosine) of the ``k`` best of ``others`` with a cosine of ``floor`` or more for each row, by all cosines.
 
-    Without ``others`` the rows are compared with each other. Both are taken from their mean first, as else the
+    Without ``others`` the rows, or those of them in ``queries``, are compared with all. Both are taken from their mean first, as else the
     differences of rows that are all but equal would be lost in rounding. Ties go to the lower row number.
     """
     alone = others is None
@@ -154,14 +161,15 @@ def compare_all(units: np.ndarray, others: np.ndarray | None, k: int, floor: flo
     of_a, of_b = (a * a).sum(1), (b * b).sum(1)
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     step = max(1, (1 << 22) // max(1, len(b)))
-    for at in range(0, len(a), step):
-        rows = np.arange(at, min(at + step, len(a)))
+    asked = np.arange(len(a)) if queries is None else queries
+    for at in range(0, len(asked), step):
+        rows = asked[at : at + step]
         apart = of_a[rows, None] + of_b - 2 * (a[rows] @ b.T)
         if alone:
             apart[np.arange(len(rows)), rows] = np.inf
         limit = np.partition(apart, k - 1, axis=1)[:, k - 1 : k] if len(b) > k else np.float32(np.inf)
         near, other = np.nonzero((apart <= limit) & np.isfinite(apart))
-        cosine = 1 - np.maximum(apart[near, other].astype(np.float64), 0) / 2
+        cosine = np.minimum(1 - apart[near, other].astype(np.float64) / 2, 1)
         good = cosine >= floor
         near, other, cosine = near[good], other[good], cosine[good]
         order = np.lexsort((other, -cosine, near))
@@ -230,7 +238,7 @@ def _blocks(cut: DataFrame, dim: int, seed: int, block_rows: int) -> DataFrame:
 
 
 def similar_vectors(
-    units: DataFrame, k: int = 5, min_similarity: float = -1.0, radii: tuple[float, ...] = (0.632, 1.05, 1.45), n_projections: int = 96, share: float = 0.6, block_rows: int = 8192,
+    units: DataFrame, k: int = 5, min_similarity: float = -1.0, radii: tuple[float, ...] = (0.3, 0.632, math.inf), n_projections: int = 40, share: float = 0.5, block_rows: int = 8192,
     route_similarity: float = 0.5, route_recall: float = 0.95, dim: int = 256, seed: int = 7,
 ) -> DataFrame:
     """(id, neighbour, similarity) of up to ``k`` most similar rows of the same store and namespace for each row.
@@ -267,6 +275,35 @@ def similar_vectors(
     return alone.unionByName(merged)
 
 
+def exact_neighbours(units: DataFrame, asked: DataFrame, k: int, min_similarity: float, dim: int = 256, block_rows: int = 8192) -> DataFrame:
+    """(id, neighbour, similarity): brute force, for measuring recall. The rows of ``asked`` (id) against all of their namespace.
+
+    Asked rows are dealt into blocks and each block is compared with every block of rows of its namespace.
+    """
+    sizes = units.groupBy(*SPACE).agg(F.count("*").alias("_rows"))
+    sizes = broadcast_if_small(sizes.select(*SPACE, F.ceil(F.col("_rows") / block_rows).cast("long").alias("_blocks")))
+    dealt = units.select("id", *SPACE, "unit").join(sizes, list(SPACE)).withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    # About one row in fifty is asked, so 25 blocks of rows make one of asked rows.
+    asks = F.ceil(F.col("_blocks") / 25).cast("long")
+    queries = dealt.join(asked.distinct(), "id", "left_semi").withColumns({"_block": upto(F.col("_blocks")), "_ask": F.pmod(F.xxhash64("unit"), asks), "asked": F.lit(True)})
+    both = dealt.withColumns({"_ask": upto(asks), "asked": F.lit(False)}).unionByName(queries)
+
+    def compare(group: pa.Table) -> pa.Table:
+        of = group.filter(group.column("asked")).sort_by("id")
+        rows = group.filter(pc.invert(group.column("asked"))).sort_by("id")
+        if not of.num_rows or not rows.num_rows:
+            query, other, cosine = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        else:
+            # One more than asked for, as a row is its own nearest.
+            query, other, cosine = compare_all(_matrix(of.column("unit"), dim), _matrix(rows.column("unit"), dim), k + 1, min_similarity)
+        return pa.table({"id": of.column("id").take(pa.array(query)), "neighbour": rows.column("id").take(pa.array(other)), "similarity": pa.array(cosine)})
+
+    found = both.groupBy(*SPACE, "_block", "_ask").applyInArrow(compare, "id string, neighbour string, similarity double").where("id <> neighbour")
+    best = Window.partitionBy("id").orderBy(F.col("similarity").desc(), "neighbour")
+    return found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
+
+
 def with_classes(units: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Representatives of the exact copies of one store and namespace, and (rep, id) of all rows.
 
@@ -294,7 +331,11 @@ def spread_over_copies(neighbours: DataFrame, members: DataFrame, k: int) -> Dat
     links = neighbours.select(F.col("id").alias("rep"), F.col("neighbour").alias("other"), "similarity")
     links = links.unionByName(copied.select("rep", F.col("rep").alias("other"), F.lit(1.0).alias("similarity")))
     links = links.join(heads.select(F.col("rep").alias("other"), F.col("id").alias("neighbour")), "other").drop("other")
-    all_pairs = members.join(links, "rep").where(F.col("id") != F.col("neighbour")).select("id", "neighbour", "similarity")
+    # A large class is one key: its members stay where they are and its few links come to them.
+    large = broadcast_if_small(members.groupBy("rep").agg(F.count("*").alias("_n")).where(F.col("_n") > LARGE_CLASS).drop("_n"))
+    few = checkpointed(links.join(large, "rep"))
+    joined = members.join(broadcast_if_small(few), "rep").unionByName(members.join(large, "rep", "left_anti").join(links, "rep"))
+    all_pairs = joined.where(F.col("id") != F.col("neighbour")).select("id", "neighbour", "similarity")
     best = Window.partitionBy("id").orderBy(F.col("similarity").desc(), "neighbour")
     return all_pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
@@ -313,5 +354,5 @@ def most_similar(vectors: DataFrame, k: int = 5, min_similarity: float = -1.0, d
 
 def similar_pairs(vectors: DataFrame, k: int = 5, min_similarity: float = 0.8, dim: int = 256, **how: object) -> DataFrame:
     """(id_a, id_b), id_a < id_b: pairs of which at least one is among the ``k`` most similar to the other."""
-    near = most_similar(vectors, k, min_similarity, dim, **({"radii": (0.632,), "route_similarity": min_similarity, "route_recall": 0.98} | how))
+    near = most_similar(vectors, k, min_similarity, dim, **({"radii": (0.3, 0.632), "route_similarity": min_similarity, "route_recall": 0.98} | how))
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
