@@ -23,6 +23,8 @@ from corpusflow.session import checkpointed
 #: Intervals are broadcast up to this many (about 100 bytes each); more are joined by shuffling.
 BROADCAST_ROWS = 100_000
 CELLS = 16
+#: Parts that each group is spread over where the intervals are too many to be broadcast.
+PARTS = 16
 
 
 def usable_durations(logs: DataFrame, value: str = "duration_ms") -> DataFrame:
@@ -33,7 +35,8 @@ def usable_durations(logs: DataFrame, value: str = "duration_ms") -> DataFrame:
     """
     v = F.col(value).cast("double")
     good = F.col("id").isNotNull() & F.col("provider").isNotNull() & F.col("created_at").isNotNull() & (v > 0) & ~F.isnan(v) & (v < float("inf"))
-    day = F.date_format("created_at", "yyyy-MM-dd").alias("log_day")
+    # Days are UTC's, whatever the session's zone.
+    day = F.date_format(F.to_utc_timestamp("created_at", F.current_timezone()), "yyyy-MM-dd").alias("log_day")
     return logs.where(good).select("id", F.lower(F.trim("provider")).alias("provider"), day, v.alias("value")).distinct().drop("id")
 
 
@@ -42,7 +45,8 @@ def _same(keys: list[str]) -> Column:
 
 
 def _within(rows: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.join(bounds, _same(keys) & F.col("value").between(F.col("lo"), F.col("hi")))
+    met = _same(keys) & F.col("value").between(F.col("lo"), F.col("hi"))
+    return rows.join(bounds, met & (F.col("_salt") == F.col("_part")) if "_part" in bounds.columns else met)
 
 
 def percentiles_by_bisection(values: DataFrame, groups: list[str], pcts: list[int], least_rows: dict[int, int] | None = None) -> DataFrame:
@@ -67,12 +71,17 @@ def percentiles_by_bisection(values: DataFrame, groups: list[str], pcts: list[in
             break
         total = total or rows.count()
         bounds = state.select(*(F.col(k).alias(f"_{k}") for k in [*groups, "pct"]), "lo", "hi", "rank", "n_rows")
-        bounds = F.broadcast(bounds) if n <= BROADCAST_ROWS else bounds
-        met = _within(rows, bounds, keys).select(*groups, F.col("_pct").alias("pct"), "value", "lo", "hi")
+        if n <= BROADCAST_ROWS:
+            near, salts = F.broadcast(bounds), [F.lit(0)]
+        else:
+            # A group may hold a third of all rows: it is spread over parts, and each part gets the group's intervals.
+            near, salts = bounds.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), [F.pmod(F.xxhash64("value"), F.lit(PARTS)).cast("int")]
+        rows = rows.withColumn("_salt", salts[0])
+        met = _within(rows, near, keys).select(*groups, F.col("_pct").alias("pct"), "value", "lo", "hi")
         if inside * 4 <= total:
             rows = checkpointed(met.select(*groups, "pct", "value"))
             keys, total = [*groups, "pct"], inside
-            met = _within(rows, bounds, keys)
+            met = _within(rows.withColumn("_salt", salts[0]), near, keys)
         cell = F.least(F.lit(CELLS - 1), F.floor(F.coalesce(F.try_divide(F.col("value") / 2 - F.col("lo") / 2, F.col("hi") / 2 - F.col("lo") / 2), F.lit(0.0)) * CELLS))
         counts = met.groupBy(*groups, "pct", cell.alias("cell")).agg(F.count("*").alias("here"), F.min("value").alias("cell_lo"), F.max("value").alias("cell_hi"))
         counts = counts.withColumn("upto", F.sum("here").over(Window.partitionBy(*groups, "pct").orderBy("cell")))
