@@ -10,6 +10,7 @@ is taken back. A position from which no encoding can go on is marked, so that ea
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -46,6 +47,8 @@ class Vocabulary:
                     self.accept.append(-1)
                 state = following
             self.accept[state] = rank
+        absent = bytes(b for b in range(256) if bytes([b]) not in ranks)
+        self.lacking = b"[" + re.escape(absent) + b"]" if absent else b""
         self.shorter: dict[int, int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
@@ -97,31 +100,34 @@ class Vocabulary:
         return best
 
     def count(self, word: bytes) -> int:
-        """The number of tokens of a word; bytes that the vocabulary lacks count as one each."""
-        size, at, path = len(word), 0, []
-        open_ends = bytearray(b"\x01") * (size + 1)
-        token, unknown = self.longest(word, 0), 0
+        """The number of tokens of a word. A byte that is no token by itself counts as one and parts what is around it."""
+        if self.lacking:
+            parts = re.split(self.lacking, word)
+            return len(parts) - 1 + sum(self._count(part) for part in parts if part)
+        return self._count(word)
+
+    def _count(self, word: bytes) -> int:
+        """Of the tokens only their number is kept and, for each place that one ends at, the one that led there."""
+        size, at, n = len(word), 0, 0
+        open_ends, led = bytearray(b"\x01") * (size + 1), [-1] * (size + 1)
+        token = self.longest(word, 0)
         while at < size:
-            last = path[-1] if path else -1
+            last = led[at]
             while token >= 0:
                 end = at + self.length[token]
                 if open_ends[end] and (last < 0 or self.compatible(last, token)):
                     break
                 token = self.shorter[token]
             if token >= 0:
-                path.append(token)
-                at = end
+                led[end], at, n = token, end, n + 1
                 token = self.longest(word, at)
-            elif path:
+            else:
+                # Every byte is a token, so there is an encoding and the start is never left without one.
                 open_ends[at] = 0
-                token = path.pop()
+                token, n = last, n - 1
                 at -= self.length[token]
                 token = self.shorter[token]
-            else:
-                unknown, word, at = unknown + 1, word[1:], 0
-                size, open_ends = len(word), bytearray(b"\x01") * len(word) + b"\x01"
-                token = self.longest(word, 0)
-        return len(path) + unknown
+        return n
 
 
 class Counter:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 import pytest
 import tiktoken
@@ -45,6 +46,27 @@ def test_any_text(text):
     assert count(text) == len(encoding.encode_ordinary(text))
 
 
+def test_vocabulary_without_some_bytes():
+    ranks = {token: rank for rank, token in enumerate([b"a", b"b", b"ab", b"c", b"abc"])}
+    count = Vocabulary(ranks).count
+    assert [count(w) for w in (b"ab", b"abc", b"ab?", b"?ab?abc", b"???", b"", b"acb")] == [1, 1, 2, 4, 3, 0, 3]
+    began = time.perf_counter()
+    assert count(b"?a" * 100_000) == 200_000
+    assert time.perf_counter() - began < 2
+
+
+def test_exact_counts_of_all_chunks(spark):
+    """Every chunk of the smallest tables, against the tokenizer library."""
+    folder = "/root/testdata/sf0.001"
+    encoding = tiktoken.Encoding("t", pat_str=WORDS, mergeable_ranks=read_ranks(PATHS[0]), special_tokens={})
+    chunks, documents = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("chunks", "documents"))
+    rows = {(r["chunk_id"], r["document_id"]): len(encoding.encode_ordinary(r["text"] or "")) for r in chunks.collect() if r["chunk_id"] and r["document_id"]}
+    placed = {r["document_id"] for r in documents.where("source is not null and lang is not null").collect()}
+    cube = token_budget(documents, chunks, token_counter(spark, PATHS[0])).where("level = 7").agg({"bpe_tokens": "sum", "n_chunks": "sum"}).first()
+    assert cube["sum(bpe_tokens)"] == sum(n for (_, d), n in rows.items() if d in placed)
+    assert cube["sum(n_chunks)"] == sum(d in placed for _, d in rows)
+
+
 def test_budget(spark):
     monday = dt.datetime(2025, 10, 8)
     docs = [("d1", "Help_Center", "en-US", ".MD", monday, 1), ("d2", "help center", "EN", "markdown", monday, 2), ("d3", None, "en", "txt", monday, 3), ("d4", "x", None, "txt", monday, 4)]
