@@ -22,13 +22,24 @@ BATCH = 2048
 PACKED = "container_name string, container_id string, doc_id long, piece_no int, start_token long, tokens long, loss_tokens long"
 
 
+#: The default limits: segments of a container of the given capacity, and the share of its capacity that may bear loss.
+LOSS_SHARE = 0.9
+
+
+def segment_limit(capacity: int) -> int:
+    return max(8, capacity // 64)
+
+
 def sized_texts(documents: DataFrame, tokens: Callable[[Column], Column]) -> DataFrame:
-    """(doc_id, tokens, loss_tokens): tokens of the text, and how many more they are than those of its first line, the prompt.
+    """(doc_id, tokens, loss_tokens): tokens of the text, and how many more they are than those of its prompt.
 
-    A text of one line bears loss throughout; a null text has no tokens. Rows without a doc_id are left out.
+    The prompt is what stands before the first blank line; the first line where there is none, and the first sentence of a
+    text of one line. A text of one sentence bears loss throughout. A null text has no tokens. Rows without a doc_id are left out.
     """
     text = F.coalesce("text", F.lit(""))
-    prompt = F.when(F.instr(text, "\n") > 0, F.substring_index(text, "\n", 1)).otherwise(F.lit(""))
+    cut = lambda mark: F.substring_index(text, mark, 1)
+    sentence = F.regexp_extract(text, r"^[^.!?]*[.!?]+(?=\s)", 0)
+    prompt = F.when(text.contains("\n\n"), cut("\n\n")).when(text.contains("\n"), cut("\n")).otherwise(sentence)
     sized = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), tokens(text).alias("tokens"), tokens(prompt).alias("prompt"))
     return sized.select("doc_id", "tokens", F.greatest(F.lit(0), F.col("tokens") - F.col("prompt")).alias("loss_tokens"))
 
@@ -59,7 +70,7 @@ def fill(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
     return out
 
 
-def pack(items: DataFrame, containers: list[tuple[str, int]], max_segments: Callable[[int], int] = lambda capacity: max(8, capacity // 16), loss_share: float = 1.0, batch: int = BATCH, least_fill: float = 0.97) -> DataFrame:
+def pack(items: DataFrame, containers: list[tuple[str, int]], max_segments: Callable[[int], int] = segment_limit, loss_share: float = LOSS_SHARE, batch: int = BATCH, least_fill: float = 0.97) -> DataFrame:
     """(container_name, container_id, doc_id, piece_no, start_token, tokens, loss_tokens) for each container size.
 
     ``items`` has doc_id, tokens and loss_tokens; ``containers`` the names and capacities, a handful. A container
@@ -110,3 +121,24 @@ def fill_report(packed: DataFrame, containers: DataFrame) -> DataFrame:
     used = packed.where(F.col("container_id").isNotNull()).groupBy("container_name", "container_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n_items"))
     sums = used.groupBy("container_name").agg(F.count("*").alias("n_containers"), F.sum("n_items").alias("n_items"), F.sum("tokens").alias("tokens"))
     return containers.distinct().join(sums, "container_name").select("container_name", "capacity_tokens", "n_containers", "n_items", "tokens", F.try_divide("tokens", F.col("n_containers") * F.col("capacity_tokens")).alias("fill"))
+
+
+def limit_report(packed: DataFrame, containers: DataFrame, max_segments: Callable[[int], int] = segment_limit, loss_share: float = LOSS_SHARE) -> DataFrame:
+    """(container_name, n_texts, n_over, n_torn, by_tokens, by_segments, by_loss) of rows of ``pack`` for each container size.
+
+    ``n_texts`` are texts that are placed with all their tokens, ``n_over`` containers above a limit (one that holds a
+    single item may exceed that on loss), ``n_torn`` texts in pieces that would have fitted whole. The others count the
+    containers in which each limit is the one most used up.
+    """
+    sizes = containers.select("container_name", F.col("capacity_tokens").cast("long").alias("capacity")).distinct()
+    caps = {int(r["capacity"]) for r in sizes.select("capacity").distinct().orderBy("capacity").limit(1000).collect()}
+    most = F.create_map(*[F.lit(x) for c in sorted(caps) for x in (c, max_segments(c))]) if caps else F.create_map(F.lit(0).cast("long"), F.lit(0))
+    rows = packed.where(F.col("container_id").isNotNull()).join(F.broadcast(sizes), "container_name")
+    used = rows.groupBy("container_name", "capacity", "container_id").agg(F.sum("tokens").alias("t"), F.count("*").alias("s"), F.sum("loss_tokens").alias("l"))
+    used = used.withColumns({"t": F.col("t") / F.col("capacity"), "l": F.col("l") / (loss_share * F.col("capacity")), "n": F.col("s"), "s": F.col("s") / F.try_element_at(most, F.col("capacity"))})
+    top = F.greatest("t", "s", "l")
+    over = (F.col("t") > 1) | (F.col("s") > 1) | (F.col("l") > 1) & (F.col("n") > 1)
+    by_container = used.groupBy("container_name").agg(F.count_if(over).alias("n_over"), F.count_if(F.col("t") == top).alias("by_tokens"), F.count_if((F.col("s") == top) & (F.col("t") < top)).alias("by_segments"), F.count_if((F.col("l") == top) & (F.col("t") < top) & (F.col("s") < top)).alias("by_loss"))
+    texts = rows.groupBy("container_name", "capacity", "doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"), F.max(F.col("start_token") + F.col("tokens")).alias("end"))
+    by_text = texts.groupBy("container_name").agg(F.count_if(F.col("tokens") == F.col("end")).alias("n_texts"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity"))).alias("n_torn"))
+    return by_text.join(by_container, "container_name").select("container_name", "n_texts", "n_over", "n_torn", "by_tokens", "by_segments", "by_loss")

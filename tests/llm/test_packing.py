@@ -6,7 +6,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corpusflow.llm.packing import fill, fill_report, pack
+from corpusflow.llm.packing import fill, fill_report, limit_report, pack
 
 SCHEMA = "doc_id long, tokens long, loss_tokens long, container_name string"
 
@@ -26,7 +26,7 @@ def test_pack(spark):
     sizes = [int(x) for x in np.minimum(rng.lognormal(4.5, 1.2, 3000), 9000)]
     rows = [(i, n, n // 2, "clash") for i, n in enumerate(sizes)] + [(5001, 0, 0, ""), (5002, None, None, ""), (5003, 512, 512, ""), (5004, 1536, 0, "")]
     items = spark.createDataFrame(rows, SCHEMA)
-    out = pack(items, [("small", 512), ("big", 4096)], batch=500)
+    out = pack(items, [("small", 512), ("big", 4096)], lambda capacity: max(8, capacity // 16), batch=500)
     used, pieces = defaultdict(lambda: [0, 0, 0]), defaultdict(list)
     for r in out.collect():
         pieces[r["container_name"], r["doc_id"]].append(r)
@@ -53,6 +53,15 @@ def test_loss_limit(spark):
     assert all(r[1] <= 50 for r in out) and len(out) == 20
 
 
+def test_each_limit_binds_somewhere(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, int(n), int(n * share), "") for i, (n, share) in enumerate(zip(rng.integers(1, 400, 2000), rng.uniform(0.5, 1.0, 2000)))] + [(3000 + i, 3, 3, "") for i in range(1500)]
+    sizes = spark.createDataFrame([("c", 512)], "container_name string, capacity_tokens long")
+    report = limit_report(pack(spark.createDataFrame(rows, SCHEMA), [("c", 512)], lambda capacity: 8, 0.8), sizes, lambda capacity: 8, 0.8).first()
+    assert report["n_texts"] == 3500 and report["n_over"] == report["n_torn"] == 0
+    assert min(report["by_tokens"], report["by_segments"], report["by_loss"]) > 0
+
+
 def test_empty(spark):
     items = spark.createDataFrame([], SCHEMA)
     assert pack(items, [("c", 10)]).count() == 0 and pack(items, []).count() == 0
