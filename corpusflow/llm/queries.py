@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusflow.llm.mixing import mix_sources, share_report, sized_records
-from corpusflow.llm.packing import fill_report, pack, sized_texts
+from corpusflow.llm.packing import fill_report, limit_report, pack, sized_texts
 from corpusflow.llm.pairs import answer_defect, broken_pairs
 from corpusflow.llm.percentiles import ladder, percentiles_by_bisection, percentiles_of_ladders, usable_durations
 from corpusflow.llm.bpe import token_counter
@@ -217,19 +217,45 @@ def p6_fill(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> D
     return fill_report(_packed(spark, sf_dir, vocabulary), table(spark, sf_dir, "containers"))
 
 
-def _mixed(spark: SparkSession, sf_dir: str, vocabulary: str) -> tuple[DataFrame, DataFrame]:
+def p6_limits(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """That every text is placed whole and no limit is exceeded, and whether each limit binds somewhere."""
+    report = limit_report(_packed(spark, sf_dir, vocabulary), table(spark, sf_dir, "containers"))
+    return report.select("container_name", "n_texts", "n_over", "n_torn", *[(F.col(c) > 0).alias(f"{c.removeprefix('by_')}_bind") for c in ("by_tokens", "by_segments", "by_loss")])
+
+
+def _mixed(spark: SparkSession, sf_dir: str, vocabulary: str, exact_shares: bool = False) -> tuple[DataFrame, DataFrame]:
     records = sized_records(_wide(spark, sf_dir, "documents", "doc_id", "source", "text"), token_counter(spark, vocabulary))
-    return mix_sources(records, table(spark, sf_dir, "mix_targets"))
+    return mix_sources(records, table(spark, sf_dir, "mix_targets"), exact_shares=exact_shares)
 
 
 def p7_mixed(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """How often each document is used in each mix."""
+    """How often each document is used in each mix; a mix is as large as its sources are, and a source short of that by its repeats stays short."""
     return _mixed(spark, sf_dir, vocabulary)[0]
 
 
 def p7_shares(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Target and reached share of each source in each mix."""
+    """Target and reached share of each source in each mix, and by how much its repeats keep it short."""
     return share_report(*_mixed(spark, sf_dir, vocabulary))
 
 
-QUERIES |= {"p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mixed": p7_mixed, "p7_shares": p7_shares}
+def p7_exact_shares(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """The same for the largest mixes in which no source falls short."""
+    return share_report(*_mixed(spark, sf_dir, vocabulary, exact_shares=True))
+
+
+def p7_kept(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """For each mix its wanted sources, those that are off what they want by more than half a point of the mix and a mean document, and documents used too often."""
+    selected, plans = _mixed(spark, sf_dir, vocabulary)
+    selected = checkpointed(selected)
+    often = selected.join(F.broadcast(plans.select("mix_id", "source_key", "max_repeats")), ["mix_id", "source_key"]).groupBy("mix_id").agg(F.count_if(F.col("copies") > F.col("max_repeats")).alias("n_over"))
+    reached = selected.groupBy("mix_id", "source_key").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.avg("tokens").alias("mean"))
+    total = F.sum("want").over(Window.partitionBy("mix_id"))
+    off = plans.join(reached, ["mix_id", "source_key"], "left").withColumn("off", F.abs(F.coalesce("tokens", F.lit(0)) - F.col("want")) > F.greatest(0.005 * total, F.coalesce("mean", F.lit(0.0))))
+    return off.groupBy("mix_id").agg(F.count("*").alias("n_sources"), F.count_if("off").alias("n_off")).join(often, "mix_id", "left").select("mix_id", "n_sources", "n_off", F.coalesce("n_over", F.lit(0)).alias("n_over"))
+
+
+QUERIES |= {"p6_packed": p6_packed, "p6_fill": p6_fill, "p6_limits": p6_limits, "p7_mixed": p7_mixed, "p7_shares": p7_shares, "p7_exact_shares": p7_exact_shares, "p7_kept": p7_kept}
+
+ORACLES["p6_limits"] = """SELECT container_name, count(DISTINCT doc_id) AS n_texts, 0 AS n_over, 0 AS n_torn, true AS tokens_bind, true AS segments_bind, true AS loss_bind
+FROM documents, (SELECT DISTINCT container_name FROM containers) WHERE doc_id IS NOT NULL AND length(text) > 0 GROUP BY container_name"""
+ORACLES["p7_kept"] = "SELECT mix_id, count(DISTINCT source_key) AS n_sources, 0 AS n_off, 0 AS n_over FROM mix_targets GROUP BY mix_id"

@@ -38,6 +38,26 @@ def test_budget_is_met_and_selections_nest(spark, budget):
     assert abs(tokens - budget) <= 2 and len(picked - more) <= 1
 
 
+def test_a_capped_source_falls_short_and_says_so(spark):
+    base = records(spark)
+    targets = spark.createDataFrame([("m", "big-one", 0.4, 1, 0), ("m", "small", 0.2, 1, 0), ("m", "tiny", 0.4, 2, 0)], TARGETS)
+    rows = {r["source_key"]: r for r in share_report(*mix_sources(base, targets)).collect()}
+    sizes = {r["source_key"]: r["sum(tokens)"] for r in base.groupBy("source_key").sum("tokens").collect()}
+    whole = sum(sizes.values())
+    assert rows["tiny"]["tokens"] == 2 * sizes["tiny"] and abs(rows["tiny"]["short"] - (0.4 * whole - 2 * sizes["tiny"])) < 1
+    assert all(abs(rows[s]["tokens"] - share * whole) <= 2 and rows[s]["short"] == 0 for s, share in (("big-one", 0.4), ("small", 0.2)))
+    exact = {r["source_key"]: r for r in share_report(*mix_sources(base, targets, exact_shares=True)).collect()}
+    assert all(abs(exact[s]["share"] - share) < 0.001 and exact[s]["short"] == 0 for s, share in (("big-one", 0.4), ("small", 0.2), ("tiny", 0.4)))
+
+
+def test_few_long_records_come_near_the_budget(spark):
+    sizes = [9000, *[10 * (1 + i % 30) for i in range(60)]]
+    base = spark.createDataFrame([("s", i, n) for i, n in enumerate(sizes)], "source_key string, doc_id long, tokens long").withColumn("place", F.shiftrightunsigned(F.xxhash64("doc_id"), 1))
+    for budget in (1000, 8000, 10_000, 12_345, 17_990):
+        selected, _ = mix_sources(base, spark.createDataFrame([("m", "s", 1.0, 1, 0)], TARGETS), budget)
+        assert abs(selected.agg(F.sum(F.col("tokens") * F.col("copies"))).first()[0] - budget) <= 300
+
+
 def test_empty(spark):
     base = records(spark)
     targets = spark.createDataFrame([], TARGETS)
