@@ -31,10 +31,12 @@ HEX = re.compile(r"(?:[0-9a-fA-F]{4,}[:\s]+)?(?:[0-9a-fA-F]{2,4}[ :]+){5,}")
 ENDS = re.compile(r"[.!?…。！？][\"'”“’»)\]*_]*(?=\s|$)")
 GAPS = re.compile(r"\S(?: {2,}|\t)(?=\S)")
 QUOTED = re.compile(r'"[^"]*"')
+JOINS = ("'", "’", "-")
 LONG_RUN = re.compile(r"\S{60,}")
 SYMBOL = re.compile(r"[^\w\s]|_")
 ODD = re.compile(r"[^\w\s.,;:?!'\"()\-–—/%|€$£&„“”«»¿¡’‘…•@#+]|_")
 CELL_MARK = re.compile(r"[.,;|\-:\"]")
+LONGEST_COMMON = max(map(len, COMMON)) + 1
 SAID = frozenset(w for w in COMMON if len(w) > 1)
 UNLIKELY = re.compile(r"q[^u\W]|[bcdfghjklmnpqrstvwxz]{5}|\w{30}")
 PUNCT = frozenset(".!?…:;。！？\"'”“’»)")
@@ -45,25 +47,33 @@ def split_text(text: str, size: int = CHUNK) -> list[tuple[str, bool, bool, str,
 
     The character is empty where the chunk starts a line, and a blank where its line has nothing visible before it.
     """
-    out, at = [], 0
+    out, at, before = [], 0, ""
     while at < len(text) or not out:
         end = min(len(text), at + size)
         if end < len(text):
             cut = text.rfind("\n", at, end)
             if cut < 0:
                 cut = max(text.rfind(" ", at, end), text.rfind("\t", at, end))
-            end = cut + 1 if cut >= at else end
-        before = ""
-        if at and text[at - 1] != "\n":
-            line = text[text.rfind("\n", 0, at) + 1 : at].rstrip()
-            before = line[-1:] or " "
-        whole = text[at - 1 : at].isalnum() and text[at : at + 1].isalnum()
-        goes_on = text[end - 1 : end].isalnum() and text[end : end + 1].isalnum() if end else False
-        out.append((text[at:end], bool(whole), bool(goes_on), before, end < len(text) and text[end - 1 : end] != "\n"))
+            # Without a blank the cut is between words, and in a word only if that is too long to be a common one.
+            end = cut + 1 if cut >= at else next((e for e in range(end, max(at, end - LONGEST_COMMON), -1) if not _in_word(text, e)), end)
+            # An apostrophe or hyphen in a word goes with what follows it.
+            end -= end - 1 > at and text[end - 1] in JOINS and _in_word(text, end - 1)
+        out.append((text[at:end], _in_word(text, at), _in_word(text, end), before, end < len(text) and text[end - 1] != "\n"))
+        if text[end - 1 : end] == "\n":
+            before = ""
+        else:
+            # What is visible last on the line that goes on; the line may have begun in an earlier chunk.
+            line = out[-1][0].rpartition("\n")
+            before = line[2].rstrip()[-1:] or (before if not line[1] else "") or " "
         at = max(end, at + 1)
     return out
 
 
+def _in_word(text: str, at: int) -> bool:
+    """Whether a word goes on from before ``at`` to after it."""
+    return at > 0 and text[at - 1].isalnum() and (text[at : at + 1].isalnum() or text[at : at + 1] in JOINS and text[at + 1 : at + 2].isalnum())
+
+
 def _cells(line: str) -> tuple[str, int]:
     """The separator that a line has most likely cells by, and the number of cells."""
     if line.count("|") >= 2 or line.lstrip().startswith("|"):
@@ -186,8 +196,10 @@ def form_of(text: str, tokens: list[str] | None = None) -> dict[str, int]:
 def count_chunk(text: str, cut_start: bool = False, cut_end: bool = False, before: str = "", open_line: bool = False, with_forms: bool = True) -> tuple[int, ...]:
     """The counts in ``COUNTS`` of a chunk; without ``with_forms`` those of forms are 0."""
     found = WORD.findall(text.lower())
-    starts_word = cut_start and bool(found) and WORD.match(text) is not None
-    ends_word = cut_end and bool(found) and text[-1:].isalnum()
+    starts_word = cut_start and bool(found)
+    # A joint at the start belongs to the word that goes on.
+    joint = starts_word and text[0] in JOINS
+    ends_word = cut_end and bool(found)
     whole = found[1 if starts_word else 0 : len(found) - ends_word or None]
     whole = whole if not (starts_word and ends_word and len(found) == 1) else []
     lines = text.split("\n")
@@ -201,7 +213,7 @@ def count_chunk(text: str, cut_start: bool = False, cut_end: bool = False, befor
             punct += last in PUNCT and not goes_on
     forms = form_of(text, found) if with_forms else dict.fromkeys(KINDS, 0)
     return (
-        len(text), len(found) - starts_word, sum(map(len, found)), len(SYMBOL.findall(text)), n_lines, punct,
+        len(text), len(found) - starts_word, sum(map(len, found)) + joint, len(SYMBOL.findall(text)), n_lines, punct,
         sum(map(COMMON.__contains__, whole)), *(forms[k] for k in KINDS),
     )
 

@@ -1,6 +1,7 @@
 """Text statistics: chunks against whole texts, and forms."""
 
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -32,6 +33,20 @@ def test_chunks_add_up_to_the_whole(items, size, rng):
     assert summed(text, size) == [count_chunk(text)[i] for i in ADDITIVE]
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab the.\n!-é1'", max_size=150), st.integers(20, 40))
+def test_every_count_adds_up(text, size):
+    assert summed(text, size) == [count_chunk(text)[i] for i in ADDITIVE]
+
+
+def test_words_without_blanks_and_one_very_long_line():
+    for text in ("it's-a-" * 30 + "end", "a-" * 60, "x'" * 60, "the-" * 50):
+        assert summed(text, 24) == [count_chunk(text)[i] for i in ADDITIVE]
+    began = time.perf_counter()
+    assert sum(p[4] for p in split_text("word " * 400_000, 4096)) == len(split_text("word " * 400_000, 4096)) - 1
+    assert time.perf_counter() - began < 2
+
+
 def test_cut_inside_a_word():
     text = "a" * 95 + " the end.\n"
     assert summed(text, 10) == [count_chunk(text)[i] for i in ADDITIVE]
