@@ -79,10 +79,10 @@ SHOUTED = 5
 
 # Phrases that stand right before and after names.
 BEFORE_NAME = re.compile(
-    r"(?:my name is|this is|its|it's|i am|i'm|contact ?:|contacto ?:|ansprechpartner(?:in)? ?:|regards,|wishes,|thanks,|sincerely,|grüßen,?|gruß,?|cordialement,|saludos,|signed ?:|gezeichnet ?:|signé ?:|firmado ?:|belongs to|ausgestellt für|appartient à|a nombre de|ask for|\bask|escalated by|for delivery ?:|is for|est pour|es para|geht an|m'appelle|name ist|me llamo|hier nochmal|hier ist|encore|soy|según|laut|selon|according to|llamar a|rappeler|rückruf an|reimbursed|applicant \(|antragsteller(?:in)? \(|demandeur \(|demandeuse \(|solicitante \(|remboursé|erstattet|reembolsado a|attn:?|dear|hello|hallo|bonjour|hola|fragen sie|demandez à|pregunte a|gehört|de parte de|interlocuteur ?:|interlocutrice ?:|responsable ?:|persona de contacto ?:|pagado a|forwarded for|pour le compte de|für)\s*$",
+    r"(?:my name is|this is|its|it's|i am|i'm|contact ?:|contacto ?:|ansprechpartner(?:in)? ?:|regards,|wishes,|thanks,|sincerely,|grüßen,?|gruß,?|cordialement,|saludos,|signed ?:|gezeichnet ?:|signé ?:|firmado ?:|belongs to|ausgestellt für|appartient à|a nombre de|ask for|\bask|is for|est pour|es para|geht an|m'appelle|name ist|me llamo|hier ist|soy|según|laut|selon|according to|llamar a|rappeler|rückruf an|attn:?|dear|hello|hallo|bonjour|hola|fragen sie|demandez à|pregunte a|gehört|de parte de|met|thanked|invited|informed|reimbursed|hired|emailed|phoned|visited|told|traf|informierte|dankte|erstattete|rencontré|remercié|invité|informé|remboursé|conoció|invitó|informó|agradeció a|reembolsó a|interlocuteur ?:|interlocutrice ?:|responsable ?:|persona de contacto ?:|für)\s*$",
     re.I,
 )
-AFTER_NAME = re.compile(r"^\s*(?:wrote|schrieb|a écrit|escribió|about this|again|wohnt|lives|habite|vive|for the trip|unter\b|au \+?[\d(]|will call|called|[,:]? ?tel\b|\(?id\b|for the|und .{3,40}für die reise|à ce sujet|sobre esto|danach|, taxpayer|, steuer|erreichbar|et mon adresse|y mi correo|and you can)", re.I)
+AFTER_NAME = re.compile(r"^\s*(?:wrote|schrieb|a écrit|escribió|wohnt|lives|habite|vive|unter\b|au \+?[\d(]|will call|called|[,:]? ?tel\b|\(?id\b|erreichbar)", re.I)
 JOINED = re.compile(r"(?:\band|\bund|\bet|\by)\s+$")
 NOT_NAME_AFTER = re.compile(r"^[\s,]*(?:ltd|inc|llc|plc|gmbh|ag\b|kg\b|s\.?a\.?\b|s\.?l\.?\b|sarl|holdings?|group|hermanos|& co|team\b|release|portal|ledger|module|suite|platform|street|road|avenue|branded)", re.I)
 # Words that are no part of a name, wherever they stand in a run of capitals.
@@ -95,10 +95,10 @@ PHONE_CUES = re.compile(r"(?:call|phone|tel|cell|ring|mobile|(?<!security )(?<!i
 NEAR_NAME = re.compile(r"(?:,|\n|:| or | oder | ou | o | und | y | et )\s*$", re.I)
 ID_CUES = re.compile(r"(?:social security|insurance record|insurance number|national insurance|tax file|taxpayer|tax id|passport(?: no\.?| number)?|identity card|id card|\bid\b(?! ends)|steuer-?id|steuernummer|ausweis(?:nummer)?|personalausweis|reisepass(?:nummer)?|sozialversicherung\w*|sécurité sociale|carte d['’]identité|numéro fiscal|passeport(?: n[o°º]\.?)?|\bnir\b|\bdni\b|\bnie\b|\bnif\b|documento|pasaporte|seguridad social|número fiscal)[^.\n]{0,25}$", re.I)
 OTHER_CUES = re.compile(r"(?:order|ticket|invoice|sku|asset|check ?sum|trace|build|version|port|room|serial|case|auftrag|bestellung|vorgang|rechnung|prüfsumme|commande|facture|dossier|série|pedido|factura|caso|referencia|reference|ref|isbn|iban|suma de control|somme de contrôle|inventar\w*|inventaire|inventario|spur|trace|traza|id ends with|kennung|endet auf|se termine par|termina en)\b[^.\n]{0,22}$", re.I)
-AFTER_ID = re.compile(r"^[\s,)]*(?:has a typo|was scanned|belongs|do you need|ausgestellt|appartient|está a nombre|a été|ist falsch|gehört|, issued)", re.I)
-AFTER_PHONE = re.compile(r"^\s*(?:after lunch|an\b|or \+?[\d(]|oder [+(\d]|ou (?:au )?[+(\d]|o \+?[\d(]|ext|, mail|the parcel|, \S+@)", re.I)
-ADDRESS_CUES = re.compile(r"(?:moved to|ship-to:|bill-to:|lives at|office at|delivery:|go to|parcel|sent? to|address is|wohnt|wohnung:|lage:|geht an|adresse ist|büro|anschrift|liefer\w*|adresse est|bureau du|colis|habite|livrer|domicilié\w*|oficina de|dirección|envío|entregar|vive en|domicilio|sita en)[^\n.]{0,60}$", re.I)
-EMAIL_CUES = re.compile(r"(?:reach me at|mail|send|copy to|wrote from|forwarded|contact|cc|an |to |à |a |erreichbar|schicken|écrivez|escriban|correo|copia|copie|depuis|von|desde|,\s*|<|\n)\s*$", re.I)
+AFTER_ID = re.compile(r"^[\s,)]*(?:belongs|ausgestellt|appartient|está a nombre|a été|ist falsch|gehört)", re.I)
+AFTER_PHONE = re.compile(r"^\s*(?:an\b|or \+?[\d(]|oder [+(\d]|ou (?:au )?[+(\d]|o \+?[\d(]|ext|, mail|, \S+@)", re.I)
+ADDRESS_CUES = re.compile(r"(?:moved to|ship-to:|bill-to:|lives at|office at|delivery:|go to|sent? to|address is|wohnt|wohnung:|lage:|geht an|adresse ist|büro|anschrift|liefer\w*|adresse est|bureau du|habite|livrer|domicilié\w*|oficina de|dirección|envío|entregar|vive en|domicilio|sita en)[^\n.]{0,60}$", re.I)
+EMAIL_CUES = re.compile(r"(?:reach me at|mail|send|copy to|from|contact|cc|an |to |à |a |erreichbar|schicken|écrivez|escriban|correo|copia|copie|depuis|von|desde|,\s*|<|\n)\s*$", re.I)
 # Top-level domains beside those of two letters.
 DOMAINS = frozenset("com net org edu gov mil int info biz name io test example invalid localhost app dev cloud online".split())
 
@@ -109,6 +109,9 @@ def _mask(span: str) -> str:
     return re.sub(r"[^\W\d_A]+", "a", out)[:28]
 
 
+CUE_WORD = re.compile(r"[^\W\d_]+|[^\w\s]")
+
+
 def _bucket(*parts: str) -> int:
     return zlib.crc32("\x1f".join(parts).encode("utf-8", "replace")) % BUCKETS
 
@@ -126,7 +129,9 @@ class _Found:
         span = self.text[start:end]
         before = re.findall(r"\w+", self.text[max(0, start - 24) : start].lower())[-1:]
         after = re.findall(r"\w+", self.text[end : end + 24].lower())[:1]
-        self.rows.append((kind, start, end, form, gazetteer, context, _bucket("mask", _mask(span)), _bucket("before", *before), _bucket("after", *after), given, family))
+        left = " ".join(CUE_WORD.findall(self.lower[max(0, start - 40) : start])[-2:])
+        right = " ".join(CUE_WORD.findall(self.lower[end : end + 40])[:2])
+        self.rows.append((kind, start, end, form, gazetteer, context, _bucket("mask", _mask(span)), _bucket("before", *before), _bucket("after", *after), given, family, left, right))
 
     def free(self, start: int, end: int) -> bool:
         return all(end <= a or start >= b for a, b in self.taken)
@@ -325,9 +330,9 @@ def _names(f: _Found, lines: str) -> None:
 
 # What a name in small or capital letters only may follow or go before.
 CUE_STARTS = tuple(
-    "my name is|hey it's|hey its|contact:|contact :|contacto:|contacto :|ansprechpartner:|regards,|grüßen|cordialement,|saludos,|signed:|belongs to|ausgestellt für|appartient à|a nombre de|ask for|ask|escalated by|for delivery:|parcel is for|colis est pour|es para|geht an|m'appelle|name ist|me llamo|hier nochmal|c'est encore|soy|según|laut|selon|according to|llamar a|rappeler|rückruf an|reimbursed|applicant (|antragsteller (|demandeur (|solicitante (|interlocuteur :".split("|")
+    "my name is|hey it's|hey its|contact:|contact :|contacto:|contacto :|ansprechpartner:|regards,|grüßen|cordialement,|saludos,|signed:|belongs to|appartient à|a nombre de|ask for|ask|m'appelle|name ist|me llamo|soy|según|laut|selon|according to|llamar a|rappeler|rückruf an|interlocuteur :".split("|")
 )
-WROTE = (" wrote from", " schrieb von", " a écrit depuis", " escribió desde")
+WROTE = (" wrote", " writes", " schrieb", " schreibt", " a écrit", " écrit", " escribió", " escribe", " called", " lives", " wohnt", " habite", " vive")
 
 
 def _ends_of(lower: str, cues: tuple[str, ...]) -> Iterator[int]:
@@ -343,7 +348,7 @@ def _ends_of(lower: str, cues: tuple[str, ...]) -> Iterator[int]:
             at = lower.find(cue, at + 1)
 
 
-CUE_ENDS = re.compile(r"(?<![\w.@])([^\W\d_]+(?: \w\.)? [^\W\d_]+(?:-[^\W\d_]+)?)(?= (?:wrote from|schrieb von|a écrit depuis|escribió desde))", re.I)
+CUE_ENDS = re.compile(r"(?<![\w.@])([^\W\d_]+(?: \w\.)? [^\W\d_]+(?:-[^\W\d_]+)?)(?= (?:wrote|writes|schrieb|schreibt|a écrit|écrit|escribió|escribe|called|lives|wohnt|habite|vive)\b)", re.I)
 DIGITS = re.compile(r"\d+")
 # Blanks and hyphens that don't break lines, and what they are read as; lengths stay.
 PLAIN_MARKS = {0xA0: " ", 0x2007: " ", 0x2009: " ", 0x202F: " ", 0x2010: "-", 0x2011: "-", 0x2012: "-", 0x2013: "-"}
@@ -365,7 +370,7 @@ def candidates(text: str | None) -> list[tuple]:
     return f.rows
 
 
-COLUMNS = "kind string, start int, end int, form int, gazetteer int, context int, mask int, before int, after int, given string, family string"
+COLUMNS = "kind string, start int, end int, form int, gazetteer int, context int, mask int, before int, after int, given string, family string, left string, right string"
 
 
 def candidate_spans(texts: DataFrame) -> DataFrame:
@@ -384,11 +389,31 @@ def with_name_lexicon(spans: DataFrame, least: int = 3) -> DataFrame:
     """The gazetteer's votes on names: both parts are introduced as names elsewhere ``least`` times, or neither is."""
     named = spans.where("kind = 'name' and context > 0 and form > 0")
     counted = lambda c: broadcast_if_small(named.where(F.length(c) > 1).groupBy(F.col(c)).agg(F.count("*").alias(f"n_{c}")).where(F.col(f"n_{c}") >= least))
-    joined = spans.join(counted("family"), "family", "left").join(counted("given"), "given", "left")
+    names = spans.where("kind = 'name'")
+    joined = names.join(counted("family"), "family", "left").join(counted("given"), "given", "left")
     family = F.col("n_family").isNotNull()
     given = F.col("n_given").isNotNull() | (F.length("given") == 1)
-    vote = F.when(F.col("kind") != "name", F.col("gazetteer")).when(family & given, 1).when(family | F.col("n_given").isNotNull(), 0).otherwise(-1)
-    return joined.withColumn("gazetteer", vote.cast("int")).drop("n_family", "n_given", "given", "family")
+    vote = F.when(family & given, 1).when(family | F.col("n_given").isNotNull(), 0).otherwise(-1)
+    voted = joined.withColumn("gazetteer", vote.cast("int"))
+    # Only names have parts to look up.
+    return voted.select(*spans.columns).unionByName(spans.where("kind <> 'name'")).drop("given", "family")
+
+
+def with_learnt_context(spans: DataFrame, least: int = 5, sure_share: float = 0.6) -> DataFrame:
+    """The context's votes where no known phrase stands near: the two words before and after a span, as the corpus uses them.
+
+    Words speak for a kind if, at ``least`` times, what they stand next to is sure to be of it by form and gazetteer
+    alone, and so is ``sure_share`` of all of the kind's candidates there. Phrases are counted over all spans.
+    """
+    sure = (F.col("form") > 0) & (F.col("gazetteer") > 0)
+    sides = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("cue")) for side in ("left", "right")]))
+    counted = spans.select("kind", sure.alias("sure"), sides.alias("s")).select("kind", "sure", "s.*").where("cue <> ''").groupBy("kind", "side", "cue").agg(F.count("*").alias("n"), F.count_if("sure").alias("n_sure"))
+    cues = checkpointed(counted.where((F.col("n_sure") >= least) & (F.col("n_sure") >= sure_share * F.col("n"))))
+    for side in ("left", "right"):
+        learnt = broadcast_if_small(cues.where(F.col("side") == side).select("kind", F.col("cue").alias(side), F.lit(1).alias(f"_{side}")))
+        spans = spans.join(learnt, ["kind", side], "left")
+    near = F.coalesce("_left", "_right", F.lit(0))
+    return spans.withColumn("context", F.when(F.col("context") == 0, near).otherwise(F.col("context")).cast("int")).drop("_left", "_right", "left", "right")
 
 
 def estimate_reliabilities(patterns: Iterable[tuple[tuple[int, ...], float]], rounds: int = 60) -> dict[tuple[int, ...], float]:
@@ -480,7 +505,7 @@ def mentions(texts: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     text has none. Rows of one id are one case, and a mention at the same place counts once; of a number that may be
     two things the likelier stands.
     """
-    spans = checkpointed(with_name_lexicon(checkpointed(candidate_spans(texts))))
+    spans = checkpointed(with_learnt_context(checkpointed(with_name_lexicon(checkpointed(candidate_spans(texts))))))
     weights = fit(spans, fit_rows)
 
     @F.pandas_udf("double")

@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from corpusflow.llm.pii import candidates, estimate_reliabilities, fit, free_texts, mentions, redacted
+from corpusflow.llm.pii import candidates, estimate_reliabilities, fit, free_texts, mentions, redacted, with_learnt_context
 
 
 def likely(text):
@@ -89,3 +89,16 @@ def test_nothing_to_find(spark):
     texts = spark.createDataFrame([], "table_name string, row_id string, text string")
     assert mentions(texts).count() == 0
     assert mentions(spark.createDataFrame([("t", "1", "no one here")], texts.schema)).count() == 0
+
+
+def test_context_is_learnt_from_sure_mentions(spark):
+    sure = [("t", f"{i}", "name", 0, 9, 1, 1, 0, 1, 2, 3, "signatory ,", "") for i in range(8)]
+    odd = [("t", "x", "name", 0, 9, 0, 0, 0, 1, 2, 3, "signatory ,", "tomorrow morning"), ("t", "y", "name", 0, 9, 0, -1, 0, 1, 2, 3, "the red", ""), ("t", "z", "name", 0, 9, 1, 1, -1, 1, 2, 3, "signatory ,", ""), ("t", "w", "phone", 0, 9, 0, 0, 0, 1, 2, 3, "signatory ,", "")]
+    schema = "table_name string, row_id string, kind string, start int, end int, form int, gazetteer int, context int, mask int, before int, after int, left string, right string"
+    out = {(r["row_id"], r["kind"]): r["context"] for r in with_learnt_context(spark.createDataFrame(sure + odd, schema)).collect()}
+    assert out["x", "name"] == 1 and out["y", "name"] == 0 and out["z", "name"] == -1 and out["w", "phone"] == 0 and len(out) == 12
+
+
+def test_names_after_a_heading_in_capitals():
+    text = "QUARTERLY REPORT OF THE TEAM ON ALL THINGS THAT WERE DONE. " * 9 + "\nThe case was opened by Anna Miller. Later on Peter Brown closed it."
+    assert [text[c[1] : c[2]] for c in candidates(text) if c[0] == "name"] == ["Anna Miller", "Peter Brown"]
