@@ -22,5 +22,5 @@ def token_estimate(text: Column) -> Column:
 
 
 def week_of(time: Column) -> Column:
-    """The Monday of the week as YYYY-MM-DD, in the session's time zone."""
-    return F.date_format(F.date_trunc("week", time), "yyyy-MM-dd")
+    """The Monday of the UTC week as YYYY-MM-DD, whatever the session's time zone."""
+    return F.date_format(F.date_trunc("week", F.to_utc_timestamp(time, F.current_timezone())), "yyyy-MM-dd")

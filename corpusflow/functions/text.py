@@ -240,6 +240,16 @@ def citation_markers(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[\d+\]"), F.lit(0)))
 
 
+@F.pandas_udf(StringType())
+def without_accents(text: pd.Series) -> pd.Series:
+    """Unicode's decomposed form (NFKD) without what isn't ASCII then."""
+    return text.map(lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode(), na_action="ignore")
+
+
 def slug(name: Column) -> Column:
-    """Lower-cased with everything but ASCII letters and digits as single underscores, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    """Lower-cased without accents, with everything but letters and digits as single underscores, none at the ends.
+
+    Only names beyond ASCII pass through Python.
+    """
+    plain = F.when(name.rlike(r"^[\x00-\x7F]*$"), name).otherwise(without_accents(name))
+    return F.regexp_replace(F.regexp_replace(F.lower(plain), "[^a-z0-9]+", "_"), "^_+|_+$", "")

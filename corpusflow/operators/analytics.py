@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,63 +122,85 @@ def tenant_usage(logs: DataFrame, members: DataFrame) -> DataFrame:
     return rows.rollup("org_slug", "team_slug").agg(F.expr("cast(grouping_id() as int)").alias("level"), F.countDistinct("user_id").alias("n_users"), F.sum("n").alias("n_queries"))
 
 
+def folded(rows: DataFrame, keys: list[str], order: list[str], schema: str, start: Callable[[], object], step: Callable[[object, tuple], tuple[object, tuple]]) -> DataFrame:
+    """The keys and what ``step`` gives for each row, in ``order``, of rules in which each row depends on the one before.
+
+    ``step`` takes the state and the row's columns after the keys, and gives the next state and the result, whose columns
+    ``schema`` names. Spark sorts the rows of a task, spilling where it must, and they stream through a state of constant
+    size, so a key may have any number of them; but those of one key are one after the other by the rule's nature. A null
+    key is a key of its own.
+    """
+    kinds, n = dict(rows.dtypes), len(keys)
+    names = [*keys, *(c.split()[0] for c in schema.split(", "))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False, name=None):
+                if key != row[:n]:
+                    key, state = row[:n], start()
+                state, result = step(state, row[n:])
+                out.append((*key, *result))
+            yield pd.DataFrame(out, columns=names)
+
+    # Keys as texts, in which a null is equal to itself.
+    told = rows.select(*(F.col(k).cast("string").alias(k) for k in keys), *(c for c in rows.columns if c not in keys))
+    streamed = told.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, ", ".join([*(f"{k} string" for k in keys), schema]))
+    return streamed.select(*(F.col(k).cast(kinds[k]).alias(k) for k in keys), *names[n:])
+
+
 def cache_hits(accesses: DataFrame, ttl: str) -> DataFrame:
-    """Accesses (key, ts) with ``hit``: an entry is written on a miss and good until ``ttl`` after that, however often it is read.
+    """Accesses (key, ts, id) with ``hit``: an entry is written on a miss and good until ``ttl`` after that, however often it is read.
 
-    Misses restart the clock, so each depends on the one before. A session window can't say that, as reads don't
-    prolong an entry; the keys' accesses are folded in order instead. A key's accesses within a day are one fold, so none grows
-    without bound; an entry doesn't outlive the day.
+    Misses restart the clock, so each depends on the one before, and entries live over midnight. A session window can't say
+    that, as reads don't prolong an entry.
     """
-    span = F.expr(f"interval {ttl}")
-    seconds = F.unix_seconds(F.timestamp_seconds(F.lit(0)) + span)
-    listed = accesses.groupBy("key", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct(F.unix_micros("ts").alias("us"), "id"))).alias("a"))
+    span = F.unix_seconds(F.timestamp_seconds(F.lit(0)) + F.expr(f"interval {ttl}")) * 1_000_000
 
-    def step(s: Column, x: Column) -> Column:
-        hit = s["since"].isNotNull() & (x["us"] - s["since"] <= seconds * 1_000_000)
-        return F.struct(F.when(hit, s["since"]).otherwise(x["us"]).alias("since"), F.concat(s["out"], F.array(F.struct(x["id"].alias("id"), hit.alias("hit")))).alias("out"))
+    def step(since: int | None, row: tuple) -> tuple[int, tuple]:
+        us, identity, life = row
+        hit = since is not None and us - since <= life
+        return since if hit else us, (identity, us, hit)
 
-    kind = f"array<struct<id:{dict(accesses.dtypes)['id']},hit:boolean>>"
-    folded = F.aggregate("a", F.struct(F.lit(None).cast("long").alias("since"), F.array().cast(kind).alias("out")), step, lambda s: s["out"])
-    return listed.select("key", "day", F.explode(folded).alias("x")).select("key", "day", "x.*")
+    rows = accesses.select("key", F.unix_micros("ts").alias("us"), "id", span.alias("life")).where("us is not null")
+    out = folded(rows, ["key"], ["us", "id"], f"id {dict(accesses.dtypes)['id']}, us long, hit boolean", lambda: None, step)
+    return out.select("key", "id", F.timestamp_micros("us").alias("ts"), "hit")
 
 
 def budget_decisions(spending: DataFrame) -> DataFrame:
     """(key, day, seq, cost, accepted, spent) of costs (key, day, seq, cost, limit): one that would exceed the limit is rejected and not spent.
 
-    Rejections feed back, so this is a fold and no running sum; a key's costs of one day are one fold.
+    A budget is one day's. Rejections feed back, so this is a fold and no running sum.
     """
-    listed = spending.groupBy("key", "day").agg(F.array_sort(F.collect_list(F.struct("seq", "cost", "limit"))).alias("a"))
 
-    def step(s: Column, x: Column) -> Column:
-        ok = F.round(s["spent"] + x["cost"], 6) <= x["limit"]
-        spent = F.when(ok, F.round(s["spent"] + x["cost"], 6)).otherwise(s["spent"])
-        return F.struct(spent.alias("spent"), F.concat(s["out"], F.array(F.struct(x["seq"].alias("seq"), x["cost"].alias("cost"), ok.alias("accepted"), spent.alias("spent")))).alias("out"))
+    def step(spent: float, row: tuple) -> tuple[float, tuple]:
+        seq, cost, limit = row
+        after = round(spent + cost, 6)
+        return (after, (seq, cost, True, after)) if after <= limit else (spent, (seq, cost, False, spent))
 
-    kind = f"array<struct<seq:{dict(spending.dtypes)['seq']},cost:double,accepted:boolean,spent:double>>"
-    folded = F.aggregate("a", F.struct(F.lit(0.0).alias("spent"), F.array().cast(kind).alias("out")), step, lambda s: s["out"])
-    return listed.select("key", "day", F.explode(folded).alias("x")).select("key", "day", "x.*")
+    rows = spending.select("key", "day", "seq", "cost", "limit").where("cost is not null and limit is not null")
+    return folded(rows, ["key", "day"], ["seq"], f"seq {dict(spending.dtypes)['seq']}, cost double, accepted boolean, spent double", lambda: 0.0, step)
 
 
 def breaker_states(calls: DataFrame, failures: int = 3, cooldown_s: int = 3600) -> DataFrame:
-    """(key, day, seq, admitted, state) of calls (key, day, seq, ts, failed): closed, open after so many failures in a row, half open after the cooldown.
+    """(key, seq, admitted, state) of calls (key, seq, ts, failed): closed, open after so many failures in a row, half open after the cooldown.
 
     An open breaker admits nothing until the cooldown is over, then one call that closes or opens it again.
     """
-    listed = calls.groupBy("key", "day").agg(F.array_sort(F.collect_list(F.struct("seq", F.unix_seconds("ts").alias("s"), "failed"))).alias("a"))
-
-    def step(s: Column, x: Column) -> Column:
-        waiting = s["opened"].isNotNull() & (x["s"] - s["opened"] < cooldown_s)
-        trial = s["opened"].isNotNull() & ~waiting
-        count = F.when(waiting, s["count"]).when(x["failed"], s["count"] + 1).otherwise(0)
-        trips = ~waiting & x["failed"] & (trial | (count >= failures))
-        opened = F.when(waiting, s["opened"]).when(trips, x["s"])
-        state = F.when(waiting, "open").when(trial, "half_open").otherwise("closed")
-        row = F.struct(x["seq"].alias("seq"), (~waiting).alias("admitted"), state.alias("state"))
-        return F.struct(count.alias("count"), opened.alias("opened"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    kind = f"array<struct<seq:{dict(calls.dtypes)['seq']},admitted:boolean,state:string>>"
-    folded = F.aggregate("a", F.struct(F.lit(0).alias("count"), F.lit(None).cast("long").alias("opened"), F.array().cast(kind).alias("out")), step, lambda s: s["out"])
-    return listed.select("key", "day", F.explode(folded).alias("x")).select("key", "day", "x.*")
+
+    def step(held: tuple[int, int | None], row: tuple) -> tuple[tuple[int, int | None], tuple]:
+        s, seq, failed = row
+        count, opened = held
+        if opened is not None and s - opened < cooldown_s:
+            return held, (seq, False, "open")
+        trial = opened is not None
+        count = count + 1 if failed else 0
+        trips = failed and (trial or count >= failures)
+        return (count, s if trips else None), (seq, True, "half_open" if trial else "closed")
+
+    rows = calls.select("key", F.unix_seconds("ts").alias("s"), "seq", F.coalesce("failed", F.lit(False)).alias("failed")).where("s is not null")
+    return folded(rows, ["key"], ["s", "seq"], f"seq {dict(calls.dtypes)['seq']}, admitted boolean, state string", lambda: (0, None), step)
 
 
 def recommended_model(budget: Column, tokens_in: Column, tokens_out: Column, prefer_quality: bool = True) -> Column:

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
@@ -17,7 +17,7 @@ LADDER = ("\n\n", "\n", ". ", " ")
 DECLARATION = re.compile(
     r"^[ \t]*(?:def |async def |class |function |async function |const \w|let \w|var \w|export (?:default )?(?:function|class|const)|func |pub fn |fn |(?:public|private|protected|internal|static)\s+\w|sub |def self\.|#\[|@)", re.M
 )
-HEADING = re.compile(r"^(#{1,6})\s+(.*)$")
+HEADING = re.compile(r"^(#{1,6})[^\S\n]+(.*)$", re.M)
 SENTENCE_GAP = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -74,19 +74,12 @@ Piece = tuple[str, str | None, int]
 
 
 def by_structure(text: str, size: int) -> list[Piece]:
-    """(piece, heading, level): sections at markdown headings, the heading's line included; long ones cut on."""
-    sections: list[tuple[str | None, int, list[str]]] = [(None, 0, [])]
-    for line in text.split("\n"):
-        if m := HEADING.match(line):
-            sections.append((m.group(2).strip(), len(m.group(1)), [line]))
-        else:
-            sections[-1][2].append(line)
-    out: list[Piece] = []
-    for heading, level, lines in sections:
-        body = "\n".join(lines).strip()
-        if body:
-            out += [(piece, heading, level) for piece in ([body] if len(body) <= size else recursive(body, size))]
-    return out
+    """(piece, heading, level): sections at Markdown headings, the heading's line included; long ones cut on."""
+    heads = list(HEADING.finditer(text))
+    sections = [text[: heads[0].start() if heads else len(text)], *(text[h.start() : n.start() if n else len(text)] for h, n in zip(heads, [*heads[1:], None]))]
+    told = [(None, 0), *((h[2].strip(), len(h[1])) for h in heads)]
+    whole = ((section.strip(), *of) for section, of in zip(sections, told))
+    return [(piece, heading, level) for body, heading, level in whole if body for piece in ([body] if len(body) <= size else recursive(body, size))]
 
 
 def by_declaration(text: str, size: int) -> list[Piece]:
@@ -129,8 +122,8 @@ def chunk_documents(texts: DataFrame, strategy: str = "recursive", size: int = 4
     chars = max(1, size * (4 if unit == "tokens" else 1))
     if strategy == "fixed":
         step = max(1, chars - overlap)
-        each = texts.where(F.length("text") > 0).select("id", F.posexplode(fixed_windows(F.col("text"), chars, overlap)).alias("chunk_index", "text"))
-        each = each.select("id", "chunk_index", "text", F.lit(None).cast("string").alias("heading"), F.lit(0).alias("level"), (F.col("chunk_index") * step).alias("start_char"))
+        each = texts.where(F.length("text") > 0).select("id", fixed_windows(F.col("text"), chars, overlap).alias("w")).select("id", F.size("w").alias("n"), F.posexplode("w").alias("chunk_index", "text"))
+        each = each.select("id", "n", "chunk_index", "text", F.lit(None).cast("string").alias("heading"), F.lit(0).alias("level"), (F.col("chunk_index") * step).alias("start_char"))
     else:
         cut = STRATEGIES[strategy]
 
@@ -139,8 +132,8 @@ def chunk_documents(texts: DataFrame, strategy: str = "recursive", size: int = 4
             for bodies in batches:
                 yield pd.Series([placed(b, cut(b, chars)) if isinstance(b, str) else [] for b in bodies])
 
-        each = texts.select("id", F.posexplode(pieces("text")).alias("chunk_index", "p")).select("id", "chunk_index", "p.text", "p.heading", "p.level", "p.start_char")
-    n = F.count("*").over(Window.partitionBy("id"))
+        each = texts.select("id", pieces.asNondeterministic()("text").alias("ps")).select("id", F.size("ps").alias("n"), F.posexplode("ps").alias("chunk_index", "p")).select("id", "n", "chunk_index", "p.text", "p.heading", "p.level", "p.start_char")
+    n = F.col("n")
     position = F.when(n == 1, "only").when(F.col("chunk_index") == 0, "first").when(F.col("chunk_index") == n - 1, "last").otherwise("middle")
     return each.select(
         "id", F.concat(F.col("id").cast("string"), F.lit("::"), "chunk_index").alias("chunk_id"), "chunk_index", "text", "start_char", (F.col("start_char") + F.length("text")).alias("end_char"),

@@ -10,7 +10,7 @@ from corpusflow.functions.text import sentences, strip, tokens
 
 # Instructions of the prompt templates.
 SYSTEM = {
-    "default": "You are a precise assistant. Answer the user's question using ONLY the provided context. Cite supporting sources with their bracket markers, e.g. [1]. If the answer is not contained in the context, say you don't know.",
+    "default": "You are a precise assistant for an enterprise knowledge base. Answer the user's question using ONLY the provided context. Cite supporting sources with their bracket markers, e.g. [1]. If the answer is not contained in the context, say you don't know.",
     "qa": "You are a concise question-answering assistant. Give a direct answer using only the provided context. Cite your sources with bracket markers.",
     "summarize": "You are a summarization assistant. Summarize the key points from the provided context clearly and concisely. Attribute claims to their sources.",
     "extract": "You are a structured data extraction assistant. Extract the requested information from the provided context and return it in a structured format.",
@@ -18,6 +18,15 @@ SYSTEM = {
 }
 
 
+def date_key(hits: DataFrame, time: str) -> Column:
+    """Seconds since 1970 of a time, a number or a text that holds either; 0 where it holds none."""
+    kind = dict(hits.dtypes)[time]
+    if kind.startswith(("timestamp", "date")):
+        return F.coalesce(F.unix_micros(F.col(time).cast("timestamp")) / 1_000_000, F.lit(0.0))
+    told = F.col(time).cast("string")
+    return F.coalesce(F.try_to_number(told, F.lit("S99999999999.999999")).cast("double"), F.unix_micros(F.try_to_timestamp(told)) / 1_000_000, F.lit(0.0))
+
+
 def organize(hits: DataFrame, strategy: str, source: str = "source", time: str = "date") -> DataFrame:
     """Hits with ``order`` from 0 by relevance, source (best first), chronological (latest first) or diversity (in turns)."""
     q = Window.partitionBy("query_id")
@@ -27,7 +36,7 @@ def organize(hits: DataFrame, strategy: str, source: str = "source", time: str =
     keys = {
         "relevance": [F.col("score").desc(), F.col("rank")],
         "source": [F.col("_best").desc(), F.col("_first"), F.col("score").desc(), F.col("rank")],
-        "chronological": [F.col(time).desc_nulls_last(), F.col("rank")] if time in hits.columns else [F.col("rank")],
+        "chronological": [date_key(hits, time).desc(), F.col("rank")] if time in hits.columns else [F.col("rank")],
         "diversity": [F.col("_turn"), F.col("_first"), F.col("rank")],
     }[strategy]
     staged = hits.withColumn("_best", best).withColumn("_turn", turn).withColumn("_first", first)
@@ -64,10 +73,24 @@ def build_context(hits: DataFrame, max_tokens: int = 1024) -> DataFrame:
     return chosen.groupBy("query_id").agg(joined.alias("context"), F.sum(F.when(F.col("included"), F.col("tokens")).otherwise(0)).alias("token_estimate"), F.count_if("included").alias("n_included"), F.count_if(~F.col("included")).alias("n_dropped"))
 
 
-def build_prompt(question: Column, context: Column, template: str = "default") -> Column:
-    """system and user text of a prompt."""
+# Fixed value: what a prompt that asks for reasoning ends with.
+STEP_BY_STEP = "Think through the relevant context step by step before giving the final answer."
+
+
+def build_prompt(question: Column, context: Column, template: str = "default", custom: str | None = None, reason: bool = False, answer_format: str | None = None) -> Column:
+    """system and user text of a prompt.
+
+    ``custom`` is a text with {context} and {question} in it; without it the context, the question, the wish for reasoning
+    and the format of the answer follow each other in paragraphs.
+    """
     shown = F.when(F.coalesce(context, F.lit("")) == "", "(no context retrieved)").otherwise(context)
-    return F.struct(F.lit(SYSTEM.get(template, SYSTEM["default"])).alias("system"), F.concat(F.lit("Context:\n"), shown, F.lit("\n\nQuestion: "), question).alias("user"))
+    if custom is not None:
+        user = F.replace(F.replace(F.lit(custom), F.lit("{context}"), F.coalesce(context, F.lit(""))), F.lit("{question}"), question)
+    else:
+        more = [F.lit(f"\n\n{STEP_BY_STEP}")] if reason or template == "chain_of_thought" else []
+        more += [F.lit(f"\n\nAnswer format: {answer_format}")] if answer_format else []
+        user = F.concat(F.lit("Context:\n"), shown, F.lit("\n\nQuestion: "), question, *more)
+    return F.struct(F.lit(SYSTEM.get(template, SYSTEM["default"])).alias("system"), user.alias("user"))
 
 
 def extractive_answers(hits: DataFrame, queries: DataFrame, n_sentences: int = 2) -> DataFrame:

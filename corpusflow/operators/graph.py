@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from corpusflow.functions.text import slug, strip
-from corpusflow.session import checkpointed
+from corpusflow.session import broadcast_if_small, checkpointed
 
 # How entities of each type are written.
 ORGANIZATION = r"\b(?:[A-Z][A-Za-z0-9&\-]+(?:\s+[A-Z][A-Za-z0-9&\-]+)*)\s+(?:Corp|Corporation|Inc|Incorporated|Ltd|Limited|LLC|LLP|Company|Group|Holdings|Partners|Associates|Technologies|Solutions|Services|Systems|Labs|Institute|Foundation|Agency)\b"
@@ -56,22 +56,21 @@ PREDICATES = {
 
 
 def mentions(texts: DataFrame) -> DataFrame:
-    """(doc_id, type, name, entity_id) of the different entities in each (id, text).
+    """(doc_id, type, name, entity_id) of the different entities in each (id, text); ids are unique and each text is read once.
 
     A person's name that is an organisation's or a technology's in the same text is none.
     """
-
-    def found(kind: str, pattern: str, group: int = 0) -> DataFrame:
-        return texts.select(F.col("id").alias("doc_id"), F.lit(kind).alias("type"), F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(group))).alias("name"))
-
-    orgs = found("ORGANIZATION", ORGANIZATION).withColumn("name", strip(F.col("name")))
-    techs = found("TECHNOLOGY", TECHNOLOGY)
-    places = found("PLACE", PLACE, 1).withColumn("name", F.regexp_replace(strip(F.col("name")), "[,.]+$", "")).where(F.length("name").between(3, 49))
-    persons = found("PERSON", PERSON).join(orgs.unionByName(techs).select("doc_id", "name").distinct(), ["doc_id", "name"], "left_anti")
-    every = orgs
-    for part in (techs, found("DATE", DATE), found("NUMBER", NUMBER), places, persons.select("doc_id", "type", "name")):
-        every = every.unionByName(part)
-    return every.withColumn("entity_id", F.concat("type", F.lit(":"), slug(F.col("name")))).groupBy("doc_id", "type", "entity_id").agg(F.min("name").alias("name"))
+    every = lambda pattern, group=0: F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
+    bare = lambda name: F.regexp_replace(strip(name), "[,.]+$", "")
+    found = texts.select(
+        F.col("id").alias("doc_id"), F.transform(every(ORGANIZATION), strip).alias("ORGANIZATION"), every(TECHNOLOGY).alias("TECHNOLOGY"), every(DATE).alias("DATE"), every(NUMBER).alias("NUMBER"),
+        F.filter(F.transform(every(PLACE, 1), bare), lambda n: F.length(n).between(3, 49)).alias("PLACE"), every(PERSON).alias("PERSON"),
+    ).withColumn("PERSON", F.array_except("PERSON", F.concat("ORGANIZATION", "TECHNOLOGY")))
+    kinds = ("ORGANIZATION", "TECHNOLOGY", "DATE", "NUMBER", "PLACE", "PERSON")
+    typed = lambda kind: F.transform(F.array_distinct(kind), lambda n: F.struct(F.lit(kind).alias("type"), n.alias("name")))
+    named = F.flatten(F.array(*map(typed, kinds)))
+    each = found.select("doc_id", F.explode(named).alias("e")).select("doc_id", "e.*")
+    return each.withColumn("entity_id", F.concat("type", F.lit(":"), slug(F.col("name")))).groupBy("doc_id", "type", "entity_id").agg(F.min("name").alias("name"))
 
 
 def entities(found: DataFrame) -> DataFrame:
@@ -133,17 +132,31 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("entity_id").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"), F.count("*").alias("degree"))
 
 
+def merged_entities(found: DataFrame) -> DataFrame:
+    """(entity_id, type, name, aliases, n_docs, first_doc, last_doc) of mentions (doc_id, type, entity_id, name) added in the order of documents.
+
+    The first name met stands, and other spellings become aliases in the order that they were met. Which documents an entity
+    is in stays a table of rows, ``found`` itself, as a common entity is in any number of them.
+    """
+    spelled = found.groupBy("entity_id", "type", "name").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    names = F.transform(F.array_sort(F.collect_list(F.struct("first", "name"))), lambda x: x["name"])
+    merged = spelled.groupBy("entity_id", "type").agg(names.alias("names"), F.sum("n").alias("n_docs"), F.min("first").alias("first_doc"), F.max("last").alias("last_doc"))
+    return merged.select("entity_id", "type", F.element_at("names", 1).alias("name"), F.slice("names", F.lit(2), F.size("names")).alias("aliases"), "n_docs", "first_doc", "last_doc")
+
+
 def shortest_paths(edges: DataFrame, starts: DataFrame, max_depth: int = 4) -> DataFrame:
-    """(start, entity_id, depth) of all that each start reaches by up to ``max_depth`` edges, itself at 0.
+    """(start, entity_id, depth, path) of all that each start reaches by up to ``max_depth`` edges, itself at 0.
 
-    Breadth first: each step joins the last frontier with the edges and drops what was reached before.
+    ``path`` holds the entities on the way, both ends included; of equally long ways the first in the alphabet. Breadth
+    first: each step joins the last frontier with the edges and drops what was reached before.
     """
     hops = edges.select(F.col("subject_id").alias("entity_id"), F.col("object_id").alias("next")).distinct()
-    reached = frontier = starts.select(F.col("entity_id").alias("start"), "entity_id", F.lit(0).alias("depth")).distinct()
+    reached = frontier = starts.select(F.col("entity_id").alias("start"), "entity_id", F.lit(0).alias("depth"), F.array("entity_id").alias("path")).distinct()
     for depth in range(1, max_depth + 1):
-        new = frontier.join(hops, "entity_id").select("start", F.col("next").alias("entity_id")).distinct().join(reached, ["start", "entity_id"], "left_anti")
-        frontier = checkpointed(new.withColumn("depth", F.lit(depth)))
-        if not frontier.limit(1).count():
+        ways = frontier.join(hops, "entity_id").select("start", F.col("next").alias("entity_id"), F.concat("path", F.array("next")).alias("path"))
+        new = ways.groupBy("start", "entity_id").agg(F.min("path").alias("path")).join(reached.select("start", "entity_id"), ["start", "entity_id"], "left_anti")
+        frontier = checkpointed(new.select("start", "entity_id", F.lit(depth).alias("depth"), "path"))
+        if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
     return reached
@@ -155,6 +168,6 @@ def graph_search(asked: DataFrame, known: DataFrame, k: int = 10) -> DataFrame:
     ``asked`` is a handful of names, joined to every entity.
     """
     low, name = F.lower(known["name"]), F.lower("asked_name")
-    asked = F.broadcast(asked.select("query_id", F.col("name").alias("asked_name")))
+    asked = broadcast_if_small(asked.select("query_id", F.col("name").alias("asked_name")))
     hits = known.join(asked, F.contains(low, name) | F.contains(name, low)).select("query_id", "entity_id", "n_docs").distinct()
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("n_docs").desc(), "entity_id"))).where(F.col("rank") <= k)

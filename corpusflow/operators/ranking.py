@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusflow.session import broadcast_if_small, checkpointed
+
 ORDER = ["branch", "pos"]
 
 
@@ -63,6 +65,21 @@ def narrative_order(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("order", F.row_number().over(Window.partitionBy("query_id").orderBy(zero("chunk_index"), zero("position"), zero("sequence"), heading, "id")))
 
 
+def places(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """With ``place`` from 1 within each group by ``order``, which must tell all rows of a group apart.
+
+    Rows are sorted in ranges over all tasks, a large group over many; what a range adds is its number within its part of
+    the group, and the counts of the parts before it, a handful of rows.
+    """
+    ranged = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    ranged = checkpointed(ranged.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    counts = ranged.groupBy(group, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = broadcast_if_small(counts.select(F.col(group).alias("_group"), F.col("_part").alias("_of"), (before - F.col("_first") + 1).alias("_start")))
+    joined = ranged.join(starts, ranged[group].eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_of")))
+    return joined.withColumn("place", F.col("_at") + F.col("_start")).drop("_part", "_at", "_group", "_of", "_start")
+
+
 def overlap(rows: DataFrame) -> DataFrame:
     """(query_id, id, branches): in which branches each id was found, sorted."""
     return rows.groupBy("query_id", "id").agg(F.array_join(F.array_sort(F.collect_set("branch")), ",").alias("branches"))

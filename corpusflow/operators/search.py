@@ -139,13 +139,18 @@ def cosine_top_k(queries: DataFrame, items: DataFrame, k: int, parts: list[str]
         for batch in batches:
             for row in range(batch.num_rows):
                 get = lambda c: batch.column(c)[row].as_py()  # noqa: E731, B023
-                q_ids, d_ids = get("q_ids"), np.array(get("d_ids"), dtype=object)
-                q = np.frombuffer(get("q_matrix")).reshape(len(q_ids), -1)
-                scores = np.round(q @ np.frombuffer(get("d_matrix")).reshape(len(d_ids), -1).T, 6) + 0.0
+                q_ids, d_ids = np.array(get("q_ids"), dtype=object), np.array(get("d_ids"), dtype=object)
+                # Columns in the order of ids, so that the first of equal scores is the smaller id.
                 order = np.argsort(d_ids, kind="stable")
-                for i, query in enumerate(q_ids):
-                    top = order[np.argsort(-scores[i, order], kind="stable")[:k]]
-                    yield pa.RecordBatch.from_arrays([pa.array([query] * len(top)), pa.array(d_ids[top].tolist(), pa.string()), pa.array(scores[i, top])], names=["query_id", "id", "score"])
+                d = np.frombuffer(get("d_matrix")).reshape(len(d_ids), -1)[order]
+                scores = np.round(np.frombuffer(get("q_matrix")).reshape(len(q_ids), -1) @ d.T, 6) + 0.0
+                least = np.partition(scores, -k, axis=1)[:, -k, None] if k < len(d_ids) else -np.inf
+                query, other = np.nonzero(scores >= least)
+                place = np.lexsort((other, -scores[query, other], query))
+                query, other = query[place], other[place]
+                keep = np.arange(len(query)) - np.searchsorted(query, query, "left") < k
+                query, other = query[keep], other[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[query].tolist(), pa.string()), pa.array(d_ids[order[other]].tolist(), pa.string()), pa.array(scores[query, other])], names=["query_id", "id", "score"])
 
     found = pairs.mapInArrow(best, "query_id string, id string, score double")
     return ranked(found, k)
@@ -170,7 +175,9 @@ def postings(texts: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     each = each if asked is None else each.join(asked, "term", "left_semi")
     # Kept, as both the postings and their counts of documents are made of it.
     tf = checkpointed(each.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")))
-    return tf.join(tf.groupBy("term").agg(F.count("*").alias("df")), "term").crossJoin(F.broadcast(totals))
+    frequencies = tf.groupBy("term").agg(F.count("*").alias("df"))
+    # Asked terms are few, so their frequencies come to the postings and a frequent term is no hot key.
+    return tf.join(frequencies if asked is None else broadcast_if_small(frequencies), "term").crossJoin(F.broadcast(totals))
 
 
 def search_texts(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -196,7 +203,7 @@ def entity_search(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
 
     An entity named twice counts twice. ``queries`` is a handful of rows, joined to every text.
     """
-    asked = F.broadcast(queries.select("query_id", "entities"))
+    asked = broadcast_if_small(queries.select("query_id", "entities"))
     low = F.lower("text")
     hits = texts.select("id", "text").join(asked, F.exists("entities", lambda e: F.contains(low, F.lower(e))))
     matched = F.filter("entities", lambda e: F.contains(low, F.lower(e)))

@@ -142,11 +142,12 @@ def graph_neighbours(t: Tables) -> DataFrame:
     return G.neighbours(edges(t), t.nation.select(F.concat(F.lit("nation:"), "n_nationkey").alias("entity_id")))
 
 
-@query(f"""WITH RECURSIVE {EDGES}, w AS (SELECT 'order:' || o_orderkey AS start, 'order:' || o_orderkey AS id, 0 AS depth FROM orders WHERE o_orderkey % 50 = 0
-UNION ALL SELECT start, e.o, depth + 1 FROM w JOIN e ON e.s = w.id WHERE depth < 4) SELECT start, id AS entity_id, min(depth)::INT AS depth FROM w GROUP BY ALL""")
+@query(f"""WITH RECURSIVE {EDGES}, w AS (SELECT 'order:' || o_orderkey AS start, 'order:' || o_orderkey AS id, 0 AS depth, 'order:' || o_orderkey AS path FROM orders WHERE o_orderkey % 50 = 0
+UNION ALL SELECT start, e.o, depth + 1, path || ' > ' || e.o FROM w JOIN e ON e.s = w.id WHERE depth < 4) SELECT start, id AS entity_id, min(depth)::INT AS depth, min_by(path, depth) AS path FROM w GROUP BY ALL""")
 def graph_shortest_paths(t: Tables) -> DataFrame:
-    """What every fiftieth order leads to, and over how many edges."""
-    return G.shortest_paths(edges(t), t.orders.where("o_orderkey % 50 = 0").select(F.concat(F.lit("order:"), "o_orderkey").alias("entity_id")))
+    """What every fiftieth order leads to, over how many edges, and which way."""
+    found = G.shortest_paths(edges(t), t.orders.where("o_orderkey % 50 = 0").select(F.concat(F.lit("order:"), "o_orderkey").alias("entity_id")))
+    return found.withColumn("path", F.array_join("path", " > "))
 
 
 def mentioned(t: Tables) -> DataFrame:

@@ -158,15 +158,15 @@ def error_patterns(t: Tables) -> DataFrame:
     return t.events.where("event_type = 'error' or value > 100").groupBy("event_type").agg(F.count("*").alias("n_events"))
 
 
-@query("""WITH RECURSIVE a AS (SELECT event_type || ':' || (user_id % 40) AS key, ts::DATE AS day, event_id AS id, ts, row_number() OVER (PARTITION BY event_type || ':' || (user_id % 40), ts::DATE ORDER BY ts, event_id) AS i FROM events),
+@query("""WITH RECURSIVE a AS (SELECT event_type || ':' || (user_id % 40) AS key, ts::DATE AS day, event_id AS id, ts, row_number() OVER (PARTITION BY event_type || ':' || (user_id % 40) ORDER BY ts, event_id) AS i FROM events),
 f AS (SELECT key, day, id, i, ts AS since, false AS hit FROM a WHERE i = 1
-      UNION ALL SELECT a.key, a.day, a.id, a.i, CASE WHEN a.ts - f.since <= INTERVAL 2 HOUR THEN f.since ELSE a.ts END, a.ts - f.since <= INTERVAL 2 HOUR FROM f JOIN a ON a.key = f.key AND a.day = f.day AND a.i = f.i + 1)
+      UNION ALL SELECT a.key, a.day, a.id, a.i, CASE WHEN a.ts - f.since <= INTERVAL 2 HOUR THEN f.since ELSE a.ts END, a.ts - f.since <= INTERVAL 2 HOUR FROM f JOIN a ON a.key = f.key AND a.i = f.i + 1)
 SELECT key, strftime(day, '%Y-%m-%d') AS day, count(*) AS n, count_if(hit)::BIGINT AS n_hits, round(count_if(hit) / count(*)::DOUBLE, 4) AS hit_rate FROM f GROUP BY ALL""")
 def cache_hit_rates(t: Tables) -> DataFrame:
-    """Hit rate a key and day of a cache of two hours over the events' accesses."""
+    """Hit rate by key and day of a cache of two hours over the events' accesses."""
     key = F.concat("event_type", F.lit(":"), F.col("user_id") % 40)
     hits = A.cache_hits(t.events.select(key.alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id")), "2 hours")
-    return hits.groupBy("key", F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.count_if("hit").alias("n_hits"), F.round(F.count_if("hit") / F.count("*"), 4).alias("hit_rate"))
+    return hits.groupBy("key", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.count_if("hit").alias("n_hits"), F.round(F.count_if("hit") / F.count("*"), 4).alias("hit_rate"))
 
 
 @query("""WITH RECURSIVE a AS (SELECT user_id AS key, ts::DATE AS day, event_id AS seq, round(value, 2) AS cost, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY event_id) AS i FROM events),
@@ -179,10 +179,14 @@ def budget_decisions(t: Tables) -> DataFrame:
     return A.budget_decisions(rows).select("key", F.date_format("day", "yyyy-MM-dd").alias("day"), "seq", "accepted", F.round("spent", 6).alias("spent"))
 
 
-@query()
+@query("""WITH RECURSIVE a AS (SELECT user_id AS key, event_id, epoch(ts)::BIGINT AS s, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT, event_id) AS i FROM events),
+f AS (SELECT key, i, CASE WHEN failed THEN s END AS opened, true AS admitted, 'closed' AS state FROM a WHERE i = 1
+      UNION ALL SELECT a.key, a.i, CASE WHEN f.opened IS NOT NULL AND a.s - f.opened < 3600 THEN f.opened WHEN a.failed THEN a.s END, NOT coalesce(a.s - f.opened < 3600, false),
+        CASE WHEN f.opened IS NULL THEN 'closed' WHEN a.s - f.opened < 3600 THEN 'open' ELSE 'half_open' END FROM f JOIN a ON a.key = f.key AND a.i = f.i + 1)
+SELECT state, admitted, count(*) AS n_calls FROM f GROUP BY ALL""")
 def breaker_states(t: Tables) -> DataFrame:
-    """How a circuit breaker for each user would have treated the events of a day."""
-    rows = t.events.select(F.col("user_id").alias("key"), F.to_date("ts").alias("day"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("failed"))
+    """How a circuit breaker for each user, which opens on one error, would have treated the events."""
+    rows = t.events.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("failed"))
     return A.breaker_states(rows, 1).groupBy("state", "admitted").agg(F.count("*").alias("n_calls"))
 
 

@@ -15,6 +15,7 @@ from corpusflow.operators import ranking as R
 from corpusflow.operators import rerank as K
 from corpusflow.operators import search as S
 from corpusflow.plans.registry import Tables, query
+from corpusflow.session import broadcast_if_small, checkpointed
 from corpusflow.plans.text_queries import STRIP, TOKENS, sql_list
 
 K_TOP = 10
@@ -45,8 +46,8 @@ def dense_hits(t: Tables, k: int = K_TOP) -> DataFrame:
 
 
 def with_texts(t: Tables, hits: DataFrame) -> DataFrame:
-    """Hits with their document's columns, joined back late."""
-    return hits.join(texts(t), "id")
+    """Hits with their document's columns, once: the few hits come to the documents, and what they meet is kept."""
+    return checkpointed(texts(t).join(broadcast_if_small(hits), "id"))
 
 
 TITLE = f"coalesce(left(trim(regexp_replace(list_filter(list_transform(string_split(text, chr(10)), lambda l: {STRIP.format('l')}), lambda l: l <> '')[1], '^#+', '')), 200), '')"
@@ -320,16 +321,16 @@ def rerank_multi_factor(t: Tables) -> DataFrame:
 def rerank_mmr(t: Tables) -> DataFrame:
     """BM25's hits in an order of likeness to the query and unlikeness to each other."""
     asking = S.hashed_vectors(asked(t).select(F.col("query_id").alias("id"), F.col("query").alias("text")))
-    hits = sparse_hits(t)
-    chosen = texts(t).join(hits.select("id").distinct(), "id", "left_semi")
+    hits = with_texts(t, sparse_hits(t))
+    chosen = hits.select("id", "text").dropDuplicates(["id"])
     return K.mmr(hits, S.hashed_vectors(chosen), asking).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {ASKED},{BM25},{DENSE},{CROSS} SELECT query_id, id, old_rank::INT AS old_rank, rank AS new_rank, (old_rank - rank)::INT AS change FROM crossed")
 def rerank_changes(t: Tables) -> DataFrame:
     """Positions that BM25's hits win or lose by the cross-encoder."""
-    hits = sparse_hits(t)
-    return K.rank_changes(hits, K.cross_encoder(with_texts(t, hits), asked(t)))
+    hits = with_texts(t, sparse_hits(t))
+    return K.rank_changes(hits, K.cross_encoder(hits, asked(t)))
 
 
 @query()

@@ -18,10 +18,7 @@ from corpusflow.plans.registry import Tables, query
 from corpusflow.plans.search_queries import texts
 from corpusflow.plans.text_queries import STRIP, TOKENS, questions
 
-HISTORY = 200
-
-
-def history(t: Tables, n: int = HISTORY) -> DataFrame:
+def history(t: Tables, n: int) -> DataFrame:
     """(user_id, id, question, created_at) of each user's ``n`` latest entries."""
     rows = latest(t).where("user_id is not null and question is not null").select("user_id", "id", "question", "created_at")
     return most_recent(rows, ["user_id"], "created_at", n)
@@ -29,19 +26,20 @@ def history(t: Tables, n: int = HISTORY) -> DataFrame:
 
 def _interests_sql() -> str:
     union = " UNION ALL ".join(f"SELECT '{k}' AS topic, unnest([{', '.join(repr(p) for p in v)}]) AS phrase" for k, v in X.TOPICS.items())
-    return f"""WITH {LATEST}, h AS (SELECT * FROM (SELECT user_id, id, lower(question) AS q, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS k FROM latest WHERE user_id IS NOT NULL AND question IS NOT NULL) WHERE k <= {HISTORY}),
+    return f"""WITH {LATEST}, h AS (SELECT user_id, id, lower(question) AS q FROM latest WHERE user_id IS NOT NULL AND question IS NOT NULL),
 k AS ({union}), m AS (SELECT DISTINCT user_id, id, topic FROM h JOIN k ON contains(h.q, k.phrase)), c AS (SELECT user_id, topic, count(*) AS n FROM m GROUP BY ALL)
 SELECT user_id, topic, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, topic)::INT AS rank FROM c) WHERE rank <= 3"""
 
 
 def interests(t: Tables) -> DataFrame:
-    counted = history(t).select("user_id", F.explode(X.topics(F.col("question"))).alias("topic")).groupBy("user_id", "topic").agg(F.count("*").alias("n"))
+    rows = latest(t).where("user_id is not null and question is not null")
+    counted = rows.select("user_id", F.explode(X.topics(F.col("question"))).alias("topic")).groupBy("user_id", "topic").agg(F.count("*").alias("n"))
     return counted.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("n").desc(), "topic"))).where("rank <= 3")
 
 
 @query(_interests_sql())
 def user_interests(t: Tables) -> DataFrame:
-    """The three topics that each user asked about most in their 200 latest entries, as many as a history keeps."""
+    """The three topics that each user asked about most, over all entries."""
     return interests(t)
 
 
@@ -67,10 +65,15 @@ def question_similarity(t: Tables) -> DataFrame:
     return rows.select("id", "query_id").join(a, "id").join(b, "query_id").select("id", score.alias("score"), X.similarity_band(score).alias("band"))
 
 
+def asked_sample(rows: DataFrame) -> DataFrame:
+    """The query set of a search by logged questions, about every fiftieth: entries whose id's hash starts with a byte below five."""
+    return rows.where(F.substring(F.md5(F.col("id").cast("binary")), 1, 2) < "05")
+
+
 @query()
 def multi_hop_answers(t: Tables) -> DataFrame:
-    """Answers to logged questions of several parts: each part is searched and answered, and the answers joined."""
-    several = questions(t).where("question is not null").groupBy("question").agg(F.min("id").alias("id")).withColumn("parts", X.decompose(F.col("question"))).where(F.size("parts") > 2)
+    """Answers to the query set's logged questions of two parts or more: each part is searched and answered, and the answers joined."""
+    several = asked_sample(questions(t)).where("question is not null").select("id", X.decompose(F.col("question")).alias("parts")).where(F.size("parts") > 1)
     parts = several.select("id", F.posexplode("parts").alias("pos", "part"))
     asked = parts.select(F.concat_ws("#", "id", "pos").alias("query_id"), "id", "pos", F.col("part").alias("query"), X.keywords(F.col("part")).alias("terms"))
     hits = S.search_texts(asked, texts(t), 3).join(texts(t).select("id", "text"), "id")
@@ -106,10 +109,14 @@ def answer_cache_keys(t: Tables) -> DataFrame:
 g AS (SELECT *, lag(created_at) OVER (PARTITION BY q ORDER BY created_at, id) AS before FROM k) SELECT count(*) AS n_entries, count_if(created_at - before <= INTERVAL 6 HOUR)::BIGINT AS n_repeats FROM g""")
 def repeated_questions(t: Tables) -> DataFrame:
     """Entries whose question, white space and case aside, was asked within the six hours before."""
-    asked = latest(t).select("id", "created_at", X.normalize_query(F.lower(F.coalesce("question", F.lit("")))).alias("q"))
-    before = F.lag("created_at").over(Window.partitionBy("q").orderBy("created_at", "id"))
-    gap = F.unix_micros("created_at") - F.unix_micros(before)
-    return asked.withColumn("gap", gap).agg(F.count("*").alias("n_entries"), F.count_if(F.col("gap") <= 6 * 3_600_000_000).alias("n_repeats"))
+    span = 6 * 3_600_000_000
+    asked = latest(t).select(F.unix_micros("created_at").alias("us"), X.normalize_query(F.lower(F.coalesce("question", F.lit("")))).alias("q"))
+    # Within six hours from one start all but the first are repeats; the first is one if the last of the six hours before is near enough.
+    spans = asked.groupBy("q", F.floor(F.col("us") / span).alias("span")).agg(F.count("*").alias("n"), F.min("us").alias("first"), F.max("us").alias("last"), F.count("us").alias("dated"))
+    before = F.lag("last").over(Window.partitionBy("q").orderBy("span"))
+    linked = F.coalesce(F.col("first") - before <= span, F.lit(False)).cast("long")
+    repeats = F.when(F.col("dated") > 0, F.col("dated") - 1 + linked).otherwise(0)
+    return spans.withColumn("repeats", repeats).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_entries"), F.coalesce(F.sum("repeats"), F.lit(0)).alias("n_repeats"))
 
 
 @query(f"""WITH {LATEST} SELECT user_id, count(*) AS n_kept FROM latest WHERE user_id IS NOT NULL AND user_id NOT IN (SELECT user_id FROM members WHERE role = 'viewer' AND user_id IS NOT NULL) GROUP BY user_id""")
@@ -128,7 +135,7 @@ def queue_order(t: Tables) -> DataFrame:
     """The place of each event in its day's queue, by priority and then arrival."""
     table = F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])
     rows = t.events.select("event_id", F.coalesce(F.try_element_at(table, F.col("event_type")), F.lit(2)).alias("priority"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("day").orderBy("priority", "event_id")))
+    return R.places(rows, "day", ["priority", "event_id"]).select("event_id", "priority", "day", F.col("place").cast("int").alias("place"))
 
 
 @query("""SELECT event_type AS status, count(*) AS n_tasks, round(avg(value), 6) AS avg_run, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM events GROUP BY event_type""")

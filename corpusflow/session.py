@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Settings that the operators expect; sizes are left to the cluster.
@@ -35,16 +36,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
     return spark
 
 
+def _shared_root(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where there is no cluster."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="corpusflow-")
+    return root
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the folder in ``spark.checkpoint.dir`` and read from there.
 
-    The files are shared by all executors, so losing one executor loses nothing. The setting is the
-    cluster's; a temporary folder is taken only where it is unset, as in tests.
+    The files are shared by all executors, so losing one executor loses nothing.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corpusflow-"))
+        context.setCheckpointDir(_shared_root(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -70,19 +79,29 @@ def ship_package(spark: SparkSession) -> None:
 _shipped: set[str] = set()
 
 
-def broadcast_if_small(df: DataFrame, limit_rows: int = 100_000) -> DataFrame:
-    """``df``, with a hint to broadcast it if it has no more than ``limit_rows`` rows; larger ones are joined by shuffling.
+def _width(df: DataFrame) -> Column:
+    """About how many bytes a row takes: eight for a plain value, the length of texts, and that of its JSON for what is nested."""
+    parts = [F.lit(8)]
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            parts.append(F.coalesce(F.octet_length(c), F.lit(0)))
+        elif kind.startswith(("array", "struct", "map")):
+            parts.append(F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)))
+        parts.append(F.lit(8))
+    return reduce(Column.__add__, parts).cast("long")
 
-    For narrow tables (about 100 bytes a row): the limit keeps a broadcast near 10 MB.
-    """
+
+def broadcast_if_small(df: DataFrame, limit_rows: int = 100_000, limit_bytes: int = 32 << 20) -> DataFrame:
+    """``df``, with a hint to broadcast it if it has no more than ``limit_rows`` rows of ``limit_bytes`` in all; else it is joined by shuffling."""
     df = checkpointed(df)
-    return F.broadcast(df) if df.limit(limit_rows + 1).count() <= limit_rows else df
+    n, size = df.limit(limit_rows + 1).agg(F.count("*"), F.coalesce(F.sum(_width(df)), F.lit(0))).first()
+    return F.broadcast(df) if n <= limit_rows and size <= limit_bytes else df
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A folder that all executors share: below ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="corpusflow-")
-    return f"{root}/{name}"
+    return f"{_shared_root(spark)}/{name}"
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -6,13 +6,13 @@ that can't be parsed has a null text and its error, so that one broken file does
 
 from __future__ import annotations
 
+import html
 import io
 import json
 import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,33 +26,8 @@ from corpusflow.functions.text import assess_quality, clean_text, derive_title,
 # Elements whose end is a line's end, and those whose content isn't text.
 BLOCKS = frozenset("p div br li tr h1 h2 h3 h4 h5 h6 section".split())
 DROPPED = frozenset("script style head noscript".split())
-#: Most bytes that a zipped member may unpack to; larger ones are refused.
-UNPACKED = 512 << 20
-
-
-class _Page(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__()
-        self.parts: list[str] = []
-        self.title = ""
-        self.dropped = 0
-        self.titled = False
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.dropped += tag in DROPPED
-        self.titled |= tag == "title"
-
-    def handle_endtag(self, tag: str) -> None:
-        self.dropped = max(0, self.dropped - (tag in DROPPED))
-        self.titled &= tag != "title"
-        if tag in BLOCKS:
-            self.parts.append("\n")
-
-    def handle_data(self, data: str) -> None:
-        if self.titled:
-            self.title += data.strip()
-        elif not self.dropped and data.strip():
-            self.parts.append(data)
+# What markup is made of: comments and declarations, elements whose content is raw, and tags with their name.
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<raw>script|style|noscript)\b.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?:\"[^\"]*\"|'[^']*'|[^'\">])*>", re.S | re.I)
 
 
 def _decoded(content: bytes) -> str:
@@ -60,9 +35,28 @@ def _decoded(content: bytes) -> str:
 
 
 def html_text(content: bytes) -> tuple[str, str | None]:
-    page = _Page()
-    page.feed(_decoded(content))
-    return "".join(page.parts), page.title or None
+    """What a page shows, a line for each block, and its title.
+
+    Markup is cut out by one pattern; a stack of the open elements that aren't shown tells where a text goes.
+    """
+    page, at = _decoded(content), 0
+    unseen: list[str] = []
+    shown: list[str] = []
+    title: list[str] = []
+    for mark in [*MARKUP.finditer(page), None]:
+        said = html.unescape(page[at : mark.start() if mark else len(page)])
+        if said.strip():
+            (title if "title" in unseen else [] if unseen else shown).append(said)
+        if mark is None:
+            break
+        at, name = mark.end(), (mark["name"] or "").lower()
+        if not mark["end"]:
+            unseen += [name] if name in DROPPED or name == "title" else []
+        elif name in unseen:
+            del unseen[len(unseen) - 1 - unseen[::-1].index(name)]
+        elif name in BLOCKS:
+            shown.append("\n")
+    return "".join(shown), "".join(t.strip() for t in title) or None
 
 
 def json_text(content: bytes) -> tuple[str, str | None]:
@@ -84,12 +78,23 @@ def xml_text(content: bytes) -> tuple[str, str | None]:
     return "\n".join(t.strip() for t in ET.fromstring(content).itertext() if t.strip()), None
 
 
+@F.pandas_udf(StringType())
+def xml_root_tag(content: pd.Series) -> pd.Series:
+    """The name of the outermost element of XML given as bytes; null for null and for what isn't XML."""
+
+    def tag(document: bytes) -> str | None:
+        try:
+            return _local(next(ET.iterparse(io.BytesIO(document), ("start",)))[1])
+        except (ET.ParseError, StopIteration):
+            return None
+
+    return content.map(tag, na_action="ignore")
+
+
 def _members(content: bytes, pattern: str) -> Iterator[tuple[str, ET.Element]]:
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         names = [n for n in archive.namelist() if re.fullmatch(pattern, n)]
         for name in sorted(names, key=lambda n: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", n)]):
-            if archive.getinfo(name).file_size > UNPACKED:
-                raise ValueError(f"{name} unpacks to more than {UNPACKED} bytes")
             yield name, ET.fromstring(archive.read(name))
 
 
