@@ -70,6 +70,15 @@ def feedback_patterns(feedback: DataFrame) -> DataFrame:
     return sums.withColumn("rules", F.array_join(rules, ","))
 
 
+def insights(feedback: DataFrame) -> DataFrame:
+    """One row: ratings in all, their average, the shares of high and low ones in percent, and the rules that ``feedback_patterns`` trips."""
+    stats = feedback_stats(feedback)
+    rules = feedback_patterns(feedback).agg(F.array_join(F.array_sort(F.filter(F.collect_set("rules"), lambda r: r != "")), ",").alias("recommendations"))
+    percent = lambda c: F.round(F.col(c) / F.greatest(F.lit(1), F.col("n_rated")) * 100, 1)
+    shares = stats.select(F.col("n_rated").alias("total_feedback"), F.col("average").alias("average_rating"), percent("n_high").alias("high_rated_pct"), percent("n_low").alias("low_rated_pct"))
+    return shares.crossJoin(F.broadcast(rules))
+
+
 def variant_of(test: Column, user: Column, variants: list[str]) -> Column:
     """The variant, of the sorted ones, that the MD5 of "test:user" falls on."""
     digest = F.md5(F.concat(test, F.lit(":"), user).cast("binary"))
@@ -203,6 +212,42 @@ def breaker_states(calls: DataFrame, failures: int = 3, cooldown_s: int = 3600)
     return folded(rows, ["key"], ["s", "seq"], f"seq {dict(calls.dtypes)['seq']}, admitted boolean, state string", lambda: (0, None), step)
 
 
+def model_comparison(calls: DataFrame) -> DataFrame:
+    """The columns of calls (tokens_in, tokens_out, ...) with each model, its cost and its place among the cheapest, equal costs in the models' order."""
+    models = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).alias("model")) for i, m in enumerate(MODELS)])).alias("m")
+    each = calls.select("*", models).select(*calls.columns, "m.*").withColumn("cost", price(F.col("model"), F.col("tokens_in"), F.col("tokens_out")))
+    return each.withColumn("place", F.row_number().over(Window.partitionBy(*calls.columns).orderBy("cost", "i"))).drop("i")
+
+
+def filtered_log(rows: DataFrame, time: str, limit: int, equal: dict[str, object] | None = None, least: dict[str, float] | None = None, most: dict[str, float] | None = None, tie: str = "id") -> DataFrame:
+    """The ``limit`` latest rows of a log for which the given columns are equal to, at least and at most the given values."""
+    for name, value in (equal or {}).items():
+        rows = rows.where(F.col(name) == F.lit(value))
+    for name, value in (least or {}).items():
+        rows = rows.where(F.col(name) >= value)
+    for name, value in (most or {}).items():
+        rows = rows.where(F.col(name) <= value)
+    return rows.orderBy(F.col(time).desc_nulls_last(), F.col(tie).desc()).limit(limit)
+
+
+def without_organisations(members: DataFrame, gone: DataFrame) -> DataFrame:
+    """Memberships left when the organisations of ``gone`` (org_slug) are deleted with their teams and members."""
+    return members.join(gone.select("org_slug").distinct(), "org_slug", "left_anti")
+
+
+def index_tasks(documents: DataFrame, quality: Column, n_chunks: Column) -> DataFrame:
+    """(id, status, step, progress, error, chunks) of the indexing of documents (id, text, ...): validated, judged, cut, embedded and put in.
+
+    ``quality`` is a struct with ``action`` and ``score``. A blank text fails at 10 %, one that is rejected at 25 %.
+    """
+    blank = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")) == ""
+    rejected = quality["action"] == "reject"
+    failed = blank | rejected
+    error = F.when(blank, "Text is empty").when(rejected, F.format_string("Quality too low (score %.2f)", quality["score"]))
+    done = lambda a, b: F.when(failed, a).otherwise(b)
+    return documents.select("id", done(F.lit("failed"), F.lit("completed")).alias("status"), done(F.lit("error"), F.lit("done")).alias("step"), F.when(blank, 10).when(rejected, 25).otherwise(100).alias("progress"), error.alias("error"), done(F.lit(0), n_chunks).alias("chunks"))
+
+
 def recommended_model(budget: Column, tokens_in: Column, tokens_out: Column, prefer_quality: bool = True) -> Column:
     """The best (or cheapest) model whose call fits the budget, with its cost and tier; the stub where none does."""
     options = F.array(*[F.struct(F.lit(t).alias("tier"), (-price(F.lit(m), tokens_in, tokens_out)).alias("saved"), F.lit(-i).alias("order"), F.lit(m).alias("model")) for i, (m, (_, _, t)) in enumerate(MODELS.items())])

@@ -211,6 +211,37 @@ def entity_search(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return ranked(scored, k)
 
 
+def entity_word_search(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank): the share of each query's ``entities``, single words, that are words of a text, case aside.
+
+    Words are joined, so no query meets every text; an entity named twice counts twice, and a query without any finds nothing.
+    """
+    named = queries.select("query_id", F.size("entities").alias("n"), F.explode("entities").alias("e")).select("query_id", "n", F.lower("e").alias("term"))
+    asked = broadcast_if_small(named.groupBy("query_id", "n", "term").agg(F.count("*").alias("times")))
+    held = texts.select("id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    return ranked(held.join(asked, "term").groupBy("query_id", "id", "n").agg(F.sum("times").alias("m")).select("query_id", "id", F.round(F.col("m") / F.col("n"), 6).alias("score")), k)
+
+
+def embedded_once(texts: DataFrame) -> DataFrame:
+    """(id, key, vector) of (id, text): each different text is embedded once, by the SHA-1 of it, and the vector joined back.
+
+    Texts without copies keep theirs where they are; only vectors of texts that occur again are joined.
+    """
+    keyed = texts.where(F.col("text").isNotNull()).withColumn("key", F.sha1(F.col("text").cast("binary")))
+    repeated = checkpointed(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1"))
+    marked = keyed.join(broadcast_if_small(repeated.select("key", "first")), "key", "left")
+    own = hashed_vectors(marked.where(F.col("first").isNull() | (F.col("first") == F.col("id"))).select("id", "text")).withColumnRenamed("id", "of")
+    return marked.select("id", "key", F.coalesce("first", "id").alias("of")).join(own, "of").select("id", "key", "vector")
+
+
+def semantic_cache_lookup(asked: DataFrame, cached: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """(query_id, entry, score): for each asked (id, vector) the most similar entry of a cache (id, vector), if it is near enough.
+
+    Ties go to the smaller id.
+    """
+    return cosine_top_k(asked, cached, 1).where(F.col("score") >= threshold).select("query_id", F.col("id").alias("entry"), "score")
+
+
 def weighted_rrf(dense: DataFrame, sparse: DataFrame, weights: tuple[float, float] = (1.0, 1.0), k: int = 60, top: int = 10) -> DataFrame:
     """(query_id, id, score, found_by, rank): reciprocal rank fusion of two ranked lists, rounded to six places.
 

@@ -13,7 +13,9 @@ KEY = ["store_name", "namespace", "id"]
 def normalized(vector: Column) -> Column:
     """Of length one; all zeros stay."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.when(norm > 0, F.transform(vector, lambda x: x.cast("double") / norm)).otherwise(F.transform(vector, lambda x: x.cast("double")))
+    # As an array beside the vector, since in a lambda the norm would be summed up for each of its numbers.
+    norms = F.array_repeat(F.when(norm > 0, norm).otherwise(F.lit(1.0)), F.size(vector))
+    return F.zip_with(vector, norms, lambda x, n: x.cast("double") / n)
 
 
 def last_write(records: DataFrame, sequence: str, *ties: str) -> DataFrame:
@@ -29,6 +31,19 @@ def upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return existing.join(keys, same, "left_anti").unionByName(incoming)
 
 
+def chunk_records(items: DataFrame, namespace: str, id_field: str = "chunk_id") -> DataFrame:
+    """(id, namespace, vector, metadata) to be put in, of items (``id_field``, pos, vector, metadata as a map, and others).
+
+    The metadata's entries come up a level: the items' own columns win over entries of the same name, and the text isn't
+    kept. An item without an id is named by the namespace and its position.
+    """
+    own = [c for c in items.columns if c not in ("vector", "metadata", "pos", "text")]
+    mine = F.map_filter(F.create_map(*[x for c in own for x in (F.lit(c), F.col(c).cast("string"))]), lambda k, v: v.isNotNull())
+    theirs = F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda k, v: (k != "text") & ~F.array_contains(F.map_keys(mine), k))
+    named = F.coalesce(F.col(id_field).cast("string"), F.concat(F.lit(f"{namespace}:"), F.col("pos").cast("string")))
+    return items.where(F.col("vector").isNotNull()).select(named.alias("id"), F.lit(namespace).alias("namespace"), normalized(F.col("vector")).alias("vector"), F.map_concat(theirs, mine).alias("metadata"))
+
+
 def delete(existing: DataFrame, ids: DataFrame) -> DataFrame:
     """Without the ids of the given store and namespace."""
     return existing.join(ids.select(*KEY).distinct(), KEY, "left_anti")

@@ -255,13 +255,40 @@ def stream_running_totals(t: Tables) -> DataFrame:
     return rows.groupBy("user_id").agg(F.max_by(F.struct("n_events", "spent", "over"), "batch").alias("r")).select("user_id", "r.*")
 
 
-@query("SELECT id, max(created_at)::VARCHAR IS NOT NULL AS dated, count(*) > 0 AS kept FROM vector_chunks WHERE id IS NOT NULL GROUP BY id")
+@query("""WITH r AS (SELECT id, store_name, namespace, strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS written, row_number() OVER (PARTITION BY id ORDER BY created_at DESC NULLS LAST, store_name DESC NULLS LAST, namespace DESC NULLS LAST) AS n FROM vector_chunks WHERE id IS NOT NULL)
+SELECT id, store_name, namespace, written FROM r WHERE n = 1""")
 def stream_upsert(t: Tables) -> DataFrame:
-    """The ids in a store that a stream of vector rows was merged into."""
+    """The rows that have won in a store into which a stream of vector rows was merged in several batches, out of order."""
     spark = t.spark
     folder = E.shared_folder(spark, f"store-{E.uuid.uuid4().hex}")
-    stream = E.read_stream(spark, f"{t.sf_dir}/vector_chunks.parquet").where("id is not null").select("id", "store_name", "namespace", "created_at")
+    rows = t.vector_chunks.select("id", "store_name", "namespace", "created_at")
+    # As several files, read one a batch, over which the versions of an id are spread.
+    rows.repartition(4, F.xxhash64("id", "created_at", "namespace")).write.parquet(f"{folder}/arrivals")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arrivals")
     E.upsert_stream(stream, f"{folder}/store", f"{folder}/checkpoint")
-    stored = spark.read.parquet(f"{folder}/store")
-    newest = stored.agg(F.max("version").alias("version"))
-    return stored.join(F.broadcast(newest), "version").select("id", F.col("created_at").isNotNull().alias("dated"), F.lit(True).alias("kept"))
+    return E.read_store(spark, f"{folder}/store").select("id", "store_name", "namespace", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("written"))
+
+
+@query("""WITH w AS (SELECT event_type, value, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS start FROM events)
+SELECT event_type, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n_events, round(sum(value), 4) AS value FROM w GROUP BY ALL""")
+def stream_sliding_windows(t: Tables) -> DataFrame:
+    """Events by type in windows of two hours that start every hour, counted by a stream."""
+    out = E.complete_result(E.sliding_windows(E.read_stream(t.spark, f"{t.sf_dir}/events.parquet")))
+    return out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("SELECT lower(trim(provider)) AS provider, count(DISTINCT id) AS n_entries FROM query_logs WHERE id IS NOT NULL GROUP BY 1")
+def stream_distinct_entries(t: Tables) -> DataFrame:
+    """Log entries by provider, those that came again counted once by a stream."""
+    stream = E.read_stream(t.spark, f"{t.sf_dir}/query_logs.parquet").where("id is not null").select("id", "provider", "received_at")
+    return E.appended(E.first_of_each(stream, ["id"], "received_at", "30 days")).groupBy(F.lower(F.trim("provider")).alias("provider")).agg(F.count("*").alias("n_entries"))
+
+
+@query("""SELECT count(*) AS n_met, count(DISTINCT f.id) AS n_feedback FROM (SELECT DISTINCT id, query_id, submitted_at FROM feedback_records) f JOIN (SELECT DISTINCT id, created_at FROM query_logs) q ON q.id = f.query_id
+WHERE f.submitted_at BETWEEN q.created_at AND q.created_at + INTERVAL 2 DAY""")
+def stream_feedback_join(t: Tables) -> DataFrame:
+    """Feedback that came within two days of its question, by a join of two streams."""
+    asked = E.read_stream(t.spark, f"{t.sf_dir}/query_logs.parquet").select(F.col("id").alias("query_id"), "created_at")
+    told = E.read_stream(t.spark, f"{t.sf_dir}/feedback_records.parquet").select("query_id", F.col("id").alias("feedback_id"), "submitted_at")
+    met = E.appended(E.joined_within(asked, told, ["query_id"], "created_at", "submitted_at", "2 days")).distinct()
+    return met.agg(F.count("*").alias("n_met"), F.countDistinct("feedback_id").alias("n_feedback"))
