@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import html
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from corpusflow.functions.conditions import classified, condition, first_case
 from corpusflow.functions.keys import source_key
@@ -150,17 +156,33 @@ def graph_shortest_paths(t: Tables) -> DataFrame:
     return found.withColumn("path", F.array_join("path", " > "))
 
 
+def _mentions_sql() -> str:
+    found = lambda kind, pattern, group=0: f"SELECT id, '{kind}' AS type, unnest(regexp_extract_all(text, '{pattern}', {group})) AS name FROM x"
+    bare = "regexp_replace(regexp_replace(name, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g'), '[,.]+$', '')"
+    # Word borders are those of all letters; DuckDB knows ASCII ones only, so other letters are read as an underscore there.
+    letters = r"[\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}\x{370}-\x{3FF}\x{400}-\x{52F}]"
+    return f"""x AS (SELECT doc_id AS id, regexp_replace(text, '{letters}', '_', 'g') AS text FROM documents WHERE text IS NOT NULL),
+o AS ({found('ORGANIZATION', G.ORGANIZATION)}), te AS ({found('TECHNOLOGY', G.TECHNOLOGY)}), pl AS (SELECT id, type, {bare} AS name FROM ({found('PLACE', G.PLACE, 1)})), pe AS ({found('PERSON', G.PERSON)}),
+every AS (SELECT * FROM o UNION ALL SELECT * FROM te UNION ALL {found('DATE', G.DATE)} UNION ALL {found('NUMBER', G.NUMBER)} UNION ALL SELECT * FROM pl WHERE length(name) BETWEEN 3 AND 49
+  UNION ALL SELECT * FROM pe WHERE (id, name) NOT IN (SELECT id, name FROM o UNION ALL SELECT id, name FROM te)),
+m AS (SELECT id, type, type || ':' || regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS entity_id, min(name) AS name FROM every GROUP BY ALL),
+known AS (SELECT entity_id, type, min(name) AS name, count(DISTINCT id) AS n_docs FROM m GROUP BY ALL)"""
+
+
+MENTIONS = _mentions_sql()
+
+
 def mentioned(t: Tables) -> DataFrame:
     return G.mentions(texts(t).where("text is not null"))
 
 
-@query()
+@query(f"WITH {MENTIONS} SELECT entity_id, type, name, n_docs FROM known")
 def graph_entities(t: Tables) -> DataFrame:
     """Entities named in the documents and in how many."""
     return G.entities(mentioned(t))
 
 
-@query()
+@query(f"WITH {MENTIONS} SELECT type, count(*) AS n_entities, sum(n_docs)::BIGINT AS n_mentions FROM known GROUP BY type")
 def graph_entity_types(t: Tables) -> DataFrame:
     """Different entities of each type."""
     return G.entities(mentioned(t)).groupBy("type").agg(F.count("*").alias("n_entities"), F.sum("n_docs").alias("n_mentions"))
@@ -172,7 +194,8 @@ def graph_relations(t: Tables) -> DataFrame:
     return G.relations(texts(t).where("text is not null"), mentioned(t))
 
 
-@query()
+@query(f"""WITH {MENTIONS}, a AS (SELECT unnest([1, 2, 3]) AS query_id, lower(unnest(['Orvane', 'API', '2025'])) AS n), h AS (SELECT DISTINCT query_id, entity_id, n_docs FROM known, a WHERE contains(lower(name), n) OR contains(n, lower(name)))
+SELECT query_id, entity_id, n_docs, row_number() OVER (PARTITION BY query_id ORDER BY n_docs DESC, entity_id)::INT AS rank FROM h QUALIFY rank <= 10""")
 def graph_search(t: Tables) -> DataFrame:
     """Entities that match names."""
     asked = t.spark.createDataFrame([(1, "Orvane"), (2, "API"), (3, "2025")], "query_id int, name string")
@@ -209,7 +232,7 @@ def metadata_lines(t: Tables) -> DataFrame:
     return t.documents.where(title.isNotNull()).select("doc_id", F.when(F.contains(lines, head), head).alias("title_line"))
 
 
-@query()
+@query("SELECT doc_id, CASE WHEN regexp_matches(text, '[^\\s\\x0B\\x1C-\\x1F\\x{85}\\p{Z}]') THEN length(text) ELSE 0 END + 1 AS n_chars FROM documents WHERE text IS NOT NULL")
 def html_round_trip(t: Tables) -> DataFrame:
     """Lengths of the documents' texts after a trip through HTML."""
     escaped = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
@@ -217,6 +240,40 @@ def html_round_trip(t: Tables) -> DataFrame:
     return t.documents.where("text is not null").select("doc_id", F.length(P.html_to_text(page)).alias("n_chars"))
 
 
+@F.pandas_udf(BinaryType())
+def packed_docx(texts: pd.Series) -> pd.Series:
+    """A word processor's file with each line of a text as a paragraph."""
+
+    def pack(text: str) -> bytes:
+        lines = "".join(f"<w:p><w:r><w:t>{html.escape(line)}</w:t></w:r></w:p>" for line in text.split("\n"))
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as archive:
+            archive.writestr("word/document.xml", f'<w:document xmlns:w="w"><w:body>{lines}</w:body></w:document>')
+        return held.getvalue()
+
+    return texts.map(pack)
+
+
+BARE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]+"
+
+
+@query(rf"""SELECT doc_id, f.format, md5(regexp_replace(text, '{BARE}', '', 'g')) AS digest, CASE f.format WHEN 'html' THEN 'A page' END AS title, NULL::VARCHAR AS error, CASE f.format WHEN 'xml' THEN 'doc' END AS root_tag
+FROM documents, (SELECT unnest(['text', 'markdown', 'json', 'xml', 'html', 'docx']) AS format) f WHERE NOT regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x{{FFFE}}\x{{FFFF}}]')""")
+def parsed_files(t: Tables) -> DataFrame:
+    """The documents as files of six formats, read again: a digest of the text, the title, and what went wrong."""
+    docs = t.wide("documents", "doc_id", "text").where(F.col("text").isNotNull() & ~F.col("text").rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]"))
+    escaped = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    tagged = lambda a, b: F.concat(F.lit(a), escaped, F.lit(b))
+    made = {"text": F.col("text"), "markdown": F.col("text"), "json": F.to_json(F.struct(F.col("text").alias("t"))), "xml": tagged("<doc><t>", "</t></doc>"), "html": tagged("<html><head><title>A page</title></head><body><p>", "</p></body></html>")}
+    files = F.array(*[F.struct(F.lit(k).alias("format"), F.encode(c, "utf-8").alias("content")) for k, c in made.items()], F.struct(F.lit("docx").alias("format"), packed_docx("text").alias("content")))
+    each = docs.select(F.col("doc_id").alias("id"), F.explode(files).alias("f")).select("id", "f.*")
+    read = P.parse_files(each)
+    text = F.when(F.col("format") == "json", F.regexp_replace("text", "^t: ", "")).otherwise(F.col("text"))
+    root = each.where("format = 'xml'").select("id", "format", P.xml_root_tag("content").alias("root_tag"))
+    parsed = read.select("id", "format", F.md5(F.regexp_replace(text, BARE, "").cast("binary")).alias("digest"), "title", "error")
+    return parsed.join(root, ["id", "format"], "left").withColumnRenamed("id", "doc_id")
+
+
 @query("SELECT regexp_replace(regexp_replace(lower(source), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug, count(*) AS n_docs FROM documents WHERE source IS NOT NULL GROUP BY 1")
 def source_slugs(t: Tables) -> DataFrame:
     """Documents by slug of their source."""

@@ -5,6 +5,8 @@ The query set is every document whose id is divisible by 50, asked by its title'
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,7 +98,11 @@ def hashed_embeddings(t: Tables) -> DataFrame:
     return S.hashed_terms(texts(t)).groupBy("id").agg(F.count("*").alias("n_dims"), F.round(F.sum("value"), 6).alias("total"), F.round(F.max("value"), 6).alias("largest"))
 
 
-@query()
+@query(r"""WITH w AS (SELECT doc_id AS id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) AS w FROM documents),
+g AS (SELECT id, unnest(CASE WHEN length(w) < 3 THEN [w] ELSE list_transform(range(1, length(w) - 1), lambda i: substring(w, i, 3)) END) AS g FROM w),
+h AS (SELECT g, ('0x' || right(s, 2))::INT % 128 AS a, list_sum(list_transform(string_split(s, ''), lambda c: ('0x' || c)::INT))::INT % 3 AS b FROM (SELECT g, sha256(g) AS s FROM (SELECT DISTINCT g FROM g))),
+p AS (SELECT g, a + 128 * ((((b - a) % 3 + 3) * 2) % 3) AS idx FROM h), v AS (SELECT id, idx, count(*)::DOUBLE AS v FROM g JOIN p USING (g) GROUP BY ALL)
+SELECT id, count(*) AS n_dims, round(max(v) / sqrt(sum(v * v)), 6) AS largest FROM v GROUP BY id""")
 def trigram_embeddings(t: Tables) -> DataFrame:
     """Shape of each document's trigram vector."""
     return S.trigram_terms(texts(t)).groupBy("id").agg(F.count("*").alias("n_dims"), F.round(F.max("value"), 6).alias("largest"))
@@ -127,12 +133,17 @@ def hybrid_search(t: Tables) -> DataFrame:
     return hybrid_hits(t)
 
 
-@query()
+def _overlap_sql() -> str:
+    parts = " UNION ALL ".join(f"SELECT query_id, id, '{p}' AS branch FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce({a} / (60 + dr), 0) + coalesce({b} / (60 + sr), 0), 6) DESC, id) AS n FROM da FULL JOIN sa USING (query_id, id)) WHERE n <= {K_TOP}" for p, (a, b) in X.PROFILES.items())
+    return f"WITH {ASKED},{BM25},{DENSE},{HYBRID}, l AS ({parts}) SELECT query_id, id, string_agg(branch, ',' ORDER BY branch) AS branches FROM l GROUP BY ALL"
+
+
+@query(_overlap_sql())
 def profile_overlap(t: Tables) -> DataFrame:
     """Under which weight profiles each document is among a query's ten best."""
-    dense, sparse = dense_hits(t, 3 * K_TOP), sparse_hits(t, 3 * K_TOP)
-    lists = [S.weighted_rrf(dense, sparse, X.PROFILES[p], top=K_TOP).select("query_id", "id", F.lit(p).alias("branch")) for p in ("balanced", "semantic", "keyword")]
-    return R.overlap(lists[0].unionByName(lists[1]).unionByName(lists[2]))
+    dense, sparse = checkpointed(dense_hits(t, 3 * K_TOP)), checkpointed(sparse_hits(t, 3 * K_TOP))
+    lists = [S.weighted_rrf(dense, sparse, X.PROFILES[p], top=K_TOP).select("query_id", "id", F.lit(p).alias("branch")) for p in X.PROFILES]
+    return R.overlap(reduce(DataFrame.unionByName, lists))
 
 
 NAMES = ("Orvane", "Talvex", "audit", "renewal")
@@ -265,13 +276,26 @@ def answer_differences(t: Tables) -> DataFrame:
     return R.differences(answer_rows(t))
 
 
-@query()
+ANSWERS = r"""
+r AS (SELECT DISTINCT query_id, 'feedback ' || id AS branch, answer FROM feedback_records WHERE query_id IS NOT NULL AND answer IS NOT NULL),
+a AS (SELECT * FROM r UNION ALL SELECT DISTINCT id, 'log', answer FROM query_logs WHERE answer IS NOT NULL AND id IN (SELECT DISTINCT query_id FROM feedback_records))"""
+
+
+def _merged_sql(source: str, most: str) -> str:
+    return rf"""s AS (SELECT query_id, branch, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM (SELECT query_id, branch, string_split(regexp_replace({STRIP.format('answer')}, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM {source})),
+f AS (SELECT * FROM s WHERE trim(s) <> '' QUALIFY row_number() OVER (PARTITION BY query_id, regexp_replace(lower({STRIP.format('s')}), '[.!?]+$', '') ORDER BY branch, i) = 1),
+l AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY branch, i) AS n FROM f),
+merged AS (SELECT query_id, string_agg({STRIP.format('s')}, ' ' ORDER BY branch, i) AS answer FROM l {most} GROUP BY query_id)"""
+
+
+@query(f"WITH {ANSWERS},{_merged_sql('a', 'WHERE n <= 12')} SELECT query_id, answer FROM merged")
 def answer_merged(t: Tables) -> DataFrame:
     """One answer of the different sentences of all answers to a query."""
     return R.merged_answer(answer_rows(t))
 
 
-@query()
+@query(f"""WITH {ANSWERS}, told AS (SELECT * FROM a WHERE trim(answer) <> '' AND NOT regexp_matches(lower(answer), 'don.t know|no information|not found|unavailable')),{_merged_sql('told', '')}
+SELECT q.query_id, coalesce(merged.answer, 'I could not find enough information to answer this question.') AS answer, coalesce(n, 0) AS source_count FROM (SELECT DISTINCT query_id FROM a) q LEFT JOIN merged USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS n FROM told GROUP BY query_id) c USING (query_id)""")
 def answer_synthesized(t: Tables) -> DataFrame:
     """One answer of those that say something."""
     return R.synthesized(answer_rows(t))
@@ -333,14 +357,23 @@ def rerank_changes(t: Tables) -> DataFrame:
     return K.rank_changes(hits, K.cross_encoder(hits, asked(t)))
 
 
-@query()
+@query(f"""WITH {ASKED},{BM25},{DENSE},{CROSS},
+rec AS (SELECT query_id, b.id, row_number() OVER (PARTITION BY query_id ORDER BY round(score * pow(0.5, {AGE} / 30), 6) DESC, b.id) AS rank FROM bm_hits b JOIN docs d ON d.doc_id = b.id),
+aut AS (SELECT query_id, b.id, row_number() OVER (PARTITION BY query_id ORDER BY round(score * {TRUST_SQL}, 6) DESC, b.id) AS rank FROM bm_hits b JOIN docs d ON d.doc_id = b.id)
+SELECT query_id, round(avg((c.id = r.id AND c.id = a.id)::INT), 6) AS agreement FROM crossed c JOIN rec r USING (query_id, rank) JOIN aut a USING (query_id, rank) GROUP BY query_id""")
 def rerank_agreement(t: Tables) -> DataFrame:
     """Share of positions at which three rerankings agree."""
     hits = with_texts(t, sparse_hits(t))
     return K.agreement([K.cross_encoder(hits, asked(t)), K.recency(hits, "ingested_at", F.lit(NOW).cast("timestamp")), K.authority(hits, "source", TRUST)])
 
 
-@query()
+def _about(topic: str) -> str:
+    return "(" + " OR ".join(f"contains(low, '{p}')" for p in X.TOPICS[topic]) + ")::INT"
+
+
+@query(f"""WITH {ASKED},{BM25}, h AS (SELECT b.query_id, b.id, b.score AS original_score, lower(d.text) AS low, d.source, lower(e.format) AS kind, year(d.ingested_at AT TIME ZONE 'UTC') AS y FROM bm_hits b JOIN docs d ON d.doc_id = b.id JOIN documents e ON e.doc_id = b.id),
+s AS (SELECT *, round(0.15 * {_about('Finance')} - 0.40 * {_about('Legal')} + 0.2 * greatest(0.0, 1 - (DATE '{NOW[:10]}' - make_date(y, 1, 1)) / 730.0) + CASE WHEN contains(coalesce(source, ''), 'help') THEN 0.10 ELSE 0.0 END + CASE WHEN kind = 'markdown' THEN 0.08 ELSE 0.0 END, 6)::DOUBLE AS boost FROM h)
+SELECT query_id, id, original_score, boost, round(original_score + boost, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(original_score + boost, 6) DESC, id)::INT AS rank FROM s""")
 def personalized_hits(t: Tables) -> DataFrame:
     """BM25's hits for a reader of finance who avoids legal matters."""
     profile = [F.array(F.lit("Finance")).alias("interests"), F.array(F.lit("Legal")).alias("disinterests"), F.array(F.lit("help")).alias("authority_sources"), F.array(F.lit("markdown")).alias("preferred_types")]
@@ -358,7 +391,11 @@ def context_budget(t: Tables) -> DataFrame:
     return C.within_budget(with_texts(t, sparse_hits(t)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {ASKED},{BM25}, h AS (SELECT query_id, id, rank, source, {STRIP.format('text')} AS body, greatest(1, length({STRIP.format('text')}) // 4) AS tokens, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM bm_hits b JOIN docs d ON d.doc_id = b.id WHERE {STRIP.format('text')} <> ''),
+f AS (SELECT query_id, i, true AS included, tokens AS total, 1 AS n FROM h WHERE i = 1
+      UNION ALL SELECT h.query_id, h.i, f.total + h.tokens <= 1024, f.total + CASE WHEN f.total + h.tokens <= 1024 THEN h.tokens ELSE 0 END, f.n + (f.total + h.tokens <= 1024)::INT FROM f JOIN h ON h.query_id = f.query_id AND h.i = f.i + 1),
+c AS (SELECT f.query_id, string_agg(CASE WHEN included THEN '[' || n || ']' || coalesce(' (' || source || ')', '') || chr(10) || body END, chr(10) || chr(10) ORDER BY f.i) AS context, sum(CASE WHEN included THEN tokens ELSE 0 END)::BIGINT AS token_estimate, count_if(included)::BIGINT AS n_included, count_if(NOT included)::BIGINT AS n_dropped FROM f JOIN h ON h.query_id = f.query_id AND h.i = f.i GROUP BY f.query_id)
+SELECT query_id, token_estimate, n_included, n_dropped, 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || query AS prompt FROM c JOIN asked USING (query_id)""")
 def context_texts(t: Tables) -> DataFrame:
     """The context and prompt of each query."""
     built = C.build_context(with_texts(t, sparse_hits(t))).join(asked(t).select("query_id", "query"), "query_id")
@@ -381,7 +418,9 @@ def context_by_source(t: Tables) -> DataFrame:
     return C.organize(with_texts(t, sparse_hits(t)), "source").select("query_id", "id", "order")
 
 
-@query()
+@query(f"""WITH {ASKED},{BM25}, x AS (SELECT b.query_id, b.id, b.rank, d.text, len(list_intersect(list_distinct({TOKENS.format('a.query')}), list_distinct({TOKENS.format('d.text')}))) AS shared FROM bm_hits b JOIN asked a USING (query_id) JOIN docs d ON d.doc_id = b.id),
+t AS (SELECT query_id, id, list_filter(string_split(regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '')[1:2] AS ss FROM x WHERE shared > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, rank) = 1)
+SELECT a.query_id, t.id, coalesce({STRIP.format("array_to_string(ss, ' ')")}, 'I don''t know based on the provided context.') AS answer FROM asked a LEFT JOIN t USING (query_id)""")
 def extractive_answers(t: Tables) -> DataFrame:
     """An answer to each query made of the best hit's first sentences."""
     return C.extractive_answers(with_texts(t, sparse_hits(t)), asked(t))

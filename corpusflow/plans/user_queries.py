@@ -15,7 +15,7 @@ from corpusflow.operators.store import index_type
 from corpusflow.plans.corpus_queries import LAST, last
 from corpusflow.plans.log_queries import LATEST, latest
 from corpusflow.plans.registry import Tables, query
-from corpusflow.plans.search_queries import texts
+from corpusflow.plans.search_queries import _hashed, texts
 from corpusflow.plans.text_queries import STRIP, TOKENS, questions
 
 def history(t: Tables, n: int) -> DataFrame:
@@ -54,7 +54,9 @@ def recommended_documents(t: Tables) -> DataFrame:
     return found.select(F.col("query_id").alias("user_id"), F.col("id").cast("long").alias("doc_id"), "score", "rank")
 
 
-@query()
+@query(f"""WITH fr AS (SELECT DISTINCT id, query_id, query_text AS text FROM feedback_records WHERE id IS NOT NULL), qs AS (SELECT DISTINCT id, question AS text FROM query_logs WHERE id IS NOT NULL AND id IN (SELECT query_id FROM fr)),{_hashed('a', 'fr', 'id')},{_hashed('b', 'qs', 'id')},
+s AS (SELECT fr.id, fr.query_id, round(coalesce(sum(a.value * b.value), 0), 6) + 0.0 AS score FROM fr JOIN (SELECT DISTINCT id FROM a) x ON x.id = fr.id JOIN (SELECT DISTINCT id FROM b) y ON y.id = fr.query_id LEFT JOIN a ON a.id = fr.id LEFT JOIN b ON b.id = fr.query_id AND b.idx = a.idx GROUP BY fr.id, fr.query_id)
+SELECT id, score, CASE WHEN score >= 0.85 THEN 'very similar' WHEN score >= 0.65 THEN 'similar' WHEN score >= 0.45 THEN 'moderate' WHEN score >= 0.2 THEN 'dissimilar' ELSE 'very different' END AS band FROM s""")
 def question_similarity(t: Tables) -> DataFrame:
     """How near each feedback's query text is to the logged question, and what that means."""
     rows = t.feedback_records.where("id is not null").select("id", "query_id", F.col("query_text").alias("text")).distinct()
