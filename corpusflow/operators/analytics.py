@@ -219,6 +219,23 @@ def model_comparison(calls: DataFrame) -> DataFrame:
     return each.withColumn("place", F.row_number().over(Window.partitionBy(*calls.columns).orderBy("cost", "i"))).drop("i")
 
 
+def verified_keys(presented: DataFrame, keys: DataFrame, now: Column) -> DataFrame:
+    """(key, key_id, valid) of presented (key): whether its SHA-256 is that of a key (key_id, key_hash, revoked, expires_at) that is neither revoked nor expired."""
+    joined = presented.select("key", F.sha2(F.col("key").cast("binary"), 256).alias("key_hash")).join(keys, "key_hash", "left")
+    valid = F.col("key_id").isNotNull() & ~F.coalesce("revoked", F.lit(False)) & F.coalesce(F.col("expires_at") >= now, F.lit(True))
+    return joined.select("key", "key_id", valid.alias("valid"))
+
+
+def tenant_costs(events: DataFrame, members: DataFrame) -> DataFrame:
+    """(org_slug, team_slug, level, n_queries, tokens, cost, n_cached, hit_rate) of usage events by members, rolled up over teams and organisations.
+
+    Events are summed by user before they meet the memberships; a member of several teams counts in each.
+    """
+    sums = events.groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.col("tokens_in") + F.col("tokens_out")).alias("t"), F.sum("cost").alias("c"), F.count_if("cached").alias("h"))
+    rows = sums.join(members.select("user_id", "org_slug", "team_slug").distinct(), "user_id").rollup("org_slug", "team_slug")
+    return rows.agg(F.expr("cast(grouping_id() as int)").alias("level"), F.sum("n").alias("n_queries"), F.sum("t").alias("tokens"), F.round(F.sum("c"), 6).alias("cost"), F.sum("h").alias("n_cached"), F.round(F.sum("h") / F.sum("n"), 4).alias("hit_rate"))
+
+
 def filtered_log(rows: DataFrame, time: str, limit: int, equal: dict[str, object] | None = None, least: dict[str, float] | None = None, most: dict[str, float] | None = None, tie: str = "id") -> DataFrame:
     """The ``limit`` latest rows of a log for which the given columns are equal to, at least and at most the given values."""
     for name, value in (equal or {}).items():

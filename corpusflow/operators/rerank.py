@@ -77,9 +77,11 @@ def mmr(hits: DataFrame, vectors: DataFrame, query_vectors: DataFrame, balance:
 
 
 def rank_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(query_id, id, old_rank, new_rank, change): positions won (above 0) or lost."""
+    """(query_id, id, old_rank, new_rank, change, verdict): positions won (above 0) or lost, and that in words."""
     joined = before.select("query_id", "id", F.col("rank").alias("old_rank")).join(after.select("query_id", "id", F.col("rank").alias("new_rank")), ["query_id", "id"])
-    return joined.withColumn("change", F.col("old_rank") - F.col("new_rank"))
+    change = F.col("old_rank") - F.col("new_rank")
+    up, down = F.format_string("Moved UP %d positions — more relevant to query", change), F.format_string("Moved DOWN %d positions — less relevant", -change)
+    return joined.withColumn("change", change).withColumn("verdict", F.when(change > 0, up).when(change < 0, down).otherwise("No change in rank"))
 
 
 def agreement(lists: list[DataFrame]) -> DataFrame:

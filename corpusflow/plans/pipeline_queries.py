@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as X
@@ -16,12 +16,13 @@ from corpusflow.operators import ranking as R
 from corpusflow.operators import rerank as K
 from corpusflow.operators import search as S
 from corpusflow.operators import store as V
+from corpusflow.plans.corpus_queries import EDGES, edges
 from corpusflow.plans.log_queries import LATEST, PRICE_SQL, USAGE, feedback, latest, usage
 from corpusflow.plans.registry import Tables, query
 from corpusflow.plans.search_queries import ASKED, BM25, DENSE, DENSE_TEXT_ORDER, K_TOP, _hashed, asked, dense_hits, sparse_hits, texts, with_texts
 from corpusflow.plans.text_queries import SYNONYMS, TOKENS, questions, sql_list
 from corpusflow.plans.user_queries import asked_sample
-from corpusflow.session import checkpointed
+from corpusflow.session import broadcast_if_small, checkpointed
 
 # ---- merged and routed search -------------------------------------------------------------------------------------
 
@@ -243,6 +244,64 @@ def audit_entries(t: Tables) -> DataFrame:
     return rows.select("id", "user_id", "rating", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("seen_at"))
 
 
+@query(f"""WITH {USAGE}, m AS (SELECT DISTINCT user_id, org_slug, team_slug FROM members)
+SELECT org_slug, team_slug, grouping(org_slug, team_slug)::INT AS level, count(*) AS n_queries, sum(tokens_in + tokens_out)::BIGINT AS tokens, round(sum(cost), 6) AS cost, count_if(cached)::BIGINT AS n_cached, round(count_if(cached) / count(*)::DOUBLE, 4) AS hit_rate FROM usage JOIN m USING (user_id) GROUP BY ROLLUP (org_slug, team_slug)""")
+def tenant_costs(t: Tables) -> DataFrame:
+    """Queries, tokens, cost and cache hits of each team, organisation and in all."""
+    return A.tenant_costs(usage(t), t.members)
+
+
+KEYS = "keys AS (SELECT user_id || '/' || org_slug AS key_id, sha256(user_id || ':' || org_slug) AS key_hash, bool_or(role = 'viewer') AS revoked, max(joined_at) + INTERVAL 8 YEAR AS expires_at FROM members WHERE user_id IS NOT NULL AND org_slug IS NOT NULL GROUP BY user_id, org_slug)"
+
+
+@query(f"""WITH {KEYS}, p AS (SELECT u.user_id || ':' || o.org_slug AS key FROM (SELECT DISTINCT user_id FROM query_logs WHERE user_id IS NOT NULL) u, (SELECT DISTINCT org_slug FROM members WHERE org_slug IS NOT NULL) o)
+SELECT key, key_id, key_id IS NOT NULL AND NOT coalesce(revoked, false) AND coalesce(expires_at >= TIMESTAMPTZ '2025-11-01 00:00:00+00', true) AS valid FROM p LEFT JOIN keys ON key_hash = sha256(key)""")
+def verified_api_keys(t: Tables) -> DataFrame:
+    """Which of the keys that users present to each organisation are valid."""
+    orgs = t.members.where("org_slug is not null").select("org_slug").distinct()
+    users = t.query_logs.where("user_id is not null").select("user_id").distinct()
+    # Organisations are a handful beside users.
+    presented = users.join(broadcast_if_small(orgs), how="cross").select(F.concat("user_id", F.lit(":"), "org_slug").alias("key"))
+    rows = t.members.where("user_id is not null and org_slug is not null").groupBy("user_id", "org_slug").agg(F.bool_or(F.col("role") == "viewer").alias("revoked"), (F.max("joined_at") + F.expr("interval 8 years")).alias("expires_at"))
+    keys = rows.select(F.concat("user_id", F.lit("/"), "org_slug").alias("key_id"), F.sha2(F.concat("user_id", F.lit(":"), "org_slug").cast("binary"), 256).alias("key_hash"), "revoked", "expires_at")
+    return A.verified_keys(presented, keys, F.lit("2025-11-01 00:00:00").cast("timestamp"))
+
+
+@query("""WITH e AS (SELECT DISTINCT id, trace_id, lower(trim(provider)) AS provider, created_at, CASE WHEN duration_ms > 0 AND NOT isnan(duration_ms) AND NOT isinf(duration_ms) THEN duration_ms END AS d, answer FROM query_logs WHERE id IS NOT NULL AND trace_id IS NOT NULL)
+SELECT trace_id, min_by(id, strftime(created_at AT TIME ZONE 'UTC', '%Y%m%d%H%M%S%f') || id) AS root, count(*) AS n_spans, round(sum(d), 3) AS duration_ms, bool_or(answer IS NULL) AS failed FROM e GROUP BY trace_id""")
+def log_traces(t: Tables) -> DataFrame:
+    """The traces of the log: the first entry, how many there are, and whether one has no answer."""
+    usable = F.when((F.col("duration_ms") > 0) & ~F.isnan("duration_ms") & (F.col("duration_ms") < float("inf")), F.col("duration_ms"))
+    rows = t.query_logs.where("id is not null and trace_id is not null").select("trace_id", F.col("id").alias("name"), F.col("created_at").alias("start"), usable.alias("duration_ms"), F.col("answer").isNull().alias("failed"), "provider", "answer")
+    return A.traces(rows.withColumn("provider", F.lower(F.trim("provider"))).distinct())
+
+
+@query(f"""WITH {LATEST}, k AS (SELECT coalesce(lower(trim(provider)), 'unknown') AS scenario, CASE WHEN answer IS NULL OR trim(answer) = '' THEN 'no_answer' WHEN confidence < 0.3 THEN 'unsure' WHEN duration_ms > 10000 AND NOT isnan(duration_ms) THEN 'slow' END AS pattern, id FROM latest)
+SELECT scenario, pattern, count(*) AS n, min(id) AS example FROM k WHERE pattern IS NOT NULL GROUP BY ALL""")
+def log_error_patterns(t: Tables) -> DataFrame:
+    """What goes wrong with each provider, how often, and an example."""
+    slow = (F.col("duration_ms") > 10_000) & ~F.isnan("duration_ms")
+    pattern = F.when(F.col("answer").isNull() | (F.trim("answer") == ""), "no_answer").when(F.col("confidence") < 0.3, "unsure").when(slow, "slow")
+    rows = latest(t).select("id", F.coalesce(F.lower(F.trim("provider")), F.lit("unknown")).alias("scenario"), pattern.alias("pattern"))
+    return rows.where("pattern is not null").groupBy("scenario", "pattern").agg(F.count("*").alias("n"), F.min("id").alias("example"))
+
+
+@query(f"""WITH {EDGES}, d AS (SELECT s AS entity_id FROM e UNION ALL SELECT o FROM e), n AS (SELECT entity_id, count(*) AS degree FROM d GROUP BY 1)
+SELECT entity_id, degree, row_number() OVER (ORDER BY degree DESC, entity_id)::INT AS place FROM n ORDER BY degree DESC, entity_id LIMIT 5""")
+def graph_top_entities(t: Tables) -> DataFrame:
+    """The five entities with most edges."""
+    top = G.degrees(edges(t)).orderBy(F.col("degree").desc(), "entity_id").limit(5)
+    # Five rows.
+    return top.select("entity_id", "degree", F.row_number().over(Window.orderBy(F.col("degree").desc(), "entity_id")).alias("place"))
+
+
+@query(f"""WITH {ASKED},{BM25} SELECT query_id, source, count(*) AS n, string_agg(b.id::VARCHAR, ',' ORDER BY rank) AS ids FROM bm_hits b JOIN docs d ON d.doc_id = b.id GROUP BY query_id, source""")
+def sources_of_hits(t: Tables) -> DataFrame:
+    """BM25's hits of each query by source, in their order."""
+    hits = with_texts(t, sparse_hits(t)).groupBy("query_id", "source").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("h"))
+    return hits.select("query_id", "source", F.size("h").cast("long").alias("n"), F.array_join(F.transform("h", lambda x: x["id"].cast("string")), ",").alias("ids"))
+
+
 # ---- chunkers, values ---------------------------------------------------------------------------------------------------
 
 CHUNKERS = ("recursive", "semantic", "sentence", "structure", "code")

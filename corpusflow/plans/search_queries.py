@@ -350,7 +350,7 @@ def rerank_mmr(t: Tables) -> DataFrame:
     return K.mmr(hits, S.hashed_vectors(chosen), asking).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {ASKED},{BM25},{DENSE},{CROSS} SELECT query_id, id, old_rank::INT AS old_rank, rank AS new_rank, (old_rank - rank)::INT AS change FROM crossed")
+@query(f"WITH {ASKED},{BM25},{DENSE},{CROSS} SELECT query_id, id, old_rank::INT AS old_rank, rank AS new_rank, (old_rank - rank)::INT AS change, CASE WHEN old_rank > rank THEN 'Moved UP ' || (old_rank - rank) || ' positions — more relevant to query' WHEN old_rank < rank THEN 'Moved DOWN ' || (rank - old_rank) || ' positions — less relevant' ELSE 'No change in rank' END AS verdict FROM crossed")
 def rerank_changes(t: Tables) -> DataFrame:
     """Positions that BM25's hits win or lose by the cross-encoder."""
     hits = with_texts(t, sparse_hits(t))

@@ -127,17 +127,14 @@ WITH q AS (SELECT id, {STRIP.format('question')} AS q FROM ({QUESTIONS}) WHERE q
 p AS (SELECT id, q, regexp_extract_all(q, '\b(?:19|20)\d{{2}}\b') AS years, list_filter(list_transform(string_split(q, '?'), lambda x: {STRIP.format('x')}), lambda x: x <> '') AS marks,
       list_filter(list_transform(regexp_split_to_array(q, '(?i)\s+and\s+'), lambda x: {STRIP.format('x')}), lambda x: x <> '') AS ands FROM q)
 SELECT id, array_to_string(CASE
-  WHEN len(years) >= 2 AND regexp_matches(q, '(?i)\b(compar|differ|change|changed|vs\.?|versus|between|from .+ to )\b') THEN ['years']
+  WHEN len(years) >= 2 AND regexp_matches(q, '(?i)\b(compar|differ|change|changed|vs\.?|versus|between|from .+ to )\b') THEN list_append(list_transform(years[1:4], lambda y: 'What was ' || trim(regexp_replace(trim(lower(regexp_replace(regexp_replace(q, '\b(?:19|20)\d{{2}}\b', '', 'g'), '^[ ,?]+|[ ,?]+$', '', 'g'))), '^(how did|what was|how much did)\s+', '')) || ' in ' || y || '?'), 'What is the difference between ' || years[1] || ' and ' || years[2] || '?')[1:5]
   WHEN len(marks) > 1 THEN list_transform(marks[1:5], lambda x: x || '?')
   WHEN len(ands) > 1 THEN list_transform(ands[1:5], lambda x: regexp_replace(x, '\?+$', '') || '?')
   ELSE [CASE WHEN q LIKE '%?' THEN q ELSE q || '?' END] END, ' | ') AS sub_questions, length(q) AS n FROM p""")
 def question_parts(t: Tables) -> DataFrame:
-    """The sub-questions of each logged question; comparisons of years are only named."""
-    q = X.strip(F.col("question"))
-    years = F.size(F.regexp_extract_all(q, F.lit(r"\b(?:19|20)\d{2}\b"), F.lit(0))) >= 2
-    parts = X.decompose(F.col("question"))
-    compared = years & F.element_at(parts, -1).startswith("What is the difference between")
-    return questions(t).where("question is not null").select("id", F.when(compared, "years").otherwise(F.array_join(parts, " | ")).alias("sub_questions"), F.length(q).alias("n"))
+    """The sub-questions of each logged question."""
+    parts = F.array_join(X.decompose(F.col("question")), " | ")
+    return questions(t).where("question is not null").select("id", parts.alias("sub_questions"), F.length(X.strip(F.col("question"))).alias("n"))
 
 
 @query(r"""
