@@ -49,27 +49,37 @@ def fill(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
 
     ``sizes`` has a row for each item and a column for each limit. Ties go to the first item.
     """
-    share = sizes / limits
-    weight = share.mean(0) + 1e-9
+    share = np.ascontiguousarray((sizes / limits).T)
+    weight = share.mean(1) + 1e-9
     out = np.full(len(sizes), -1)
-    left = np.argsort(-share.max(1), kind="stable")
+    left = np.argsort(-share.max(0), kind="stable")
+    tokens, segments, loss = share[:, left]
     number = 0
     while len(left):
-        rest = share[left]
-        inside, space = [0], 1 - rest[0]
-        pool = 1 + np.nonzero((rest[1:] <= space + 1e-9).all(1))[0]
+        inside = [0]
+        space = 1 - np.array([tokens[0], segments[0], loss[0]])
+        pool = 1 + np.nonzero(_fits(tokens[1:], segments[1:], loss[1:], space))[0]
         while len(pool):
-            best = int((rest[pool] @ (weight * space)).argmax())
-            inside.append(pool[best])
-            space = space - rest[pool[best]]
-            pool = np.delete(pool, best)
-            pool = pool[(rest[pool] <= space + 1e-9).all(1)]
+            wish = weight * space
+            t, s, b = tokens[pool], segments[pool], loss[pool]
+            at = int((wish[0] * t + wish[1] * s + wish[2] * b).argmax())
+            inside.append(pool[at])
+            space = space - np.array([t[at], s[at], b[at]])
+            keep = _fits(t, s, b, space)
+            keep[at] = False
+            pool = pool[keep]
         out[left[inside]] = number
         number += 1
-        left = np.delete(left, inside)
+        stay = np.ones(len(left), bool)
+        stay[inside] = False
+        left, tokens, segments, loss = left[stay], tokens[stay], segments[stay], loss[stay]
     return out
 
 
+def _fits(tokens: np.ndarray, segments: np.ndarray, loss: np.ndarray, space: np.ndarray) -> np.ndarray:
+    return (tokens <= space[0] + 1e-9) & (segments <= space[1] + 1e-9) & (loss <= space[2] + 1e-9)
+
+
 def pack(items: DataFrame, containers: list[tuple[str, int]], max_segments: Callable[[int], int] = segment_limit, loss_share: float = LOSS_SHARE, batch: int = BATCH, least_fill: float = 0.97) -> DataFrame:
     """(container_name, container_id, doc_id, piece_no, start_token, tokens, loss_tokens) for each container size.
 
