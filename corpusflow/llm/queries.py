@@ -15,7 +15,7 @@ from corpusflow.llm.percentiles import ladder, percentiles_by_bisection, percent
 from corpusflow.llm.bpe import token_counter
 from corpusflow.llm.token_budget import token_budget
 from corpusflow.llm.pii import free_texts, mentions, redacted
-from corpusflow.llm.quality import text_statistics
+from corpusflow.llm.quality import COMMON, text_statistics
 from corpusflow.llm.similar import exact_neighbours, latest_versions, most_similar, similar_pairs, similar_vectors, unit_vectors
 from corpusflow.session import checkpointed, spread, table
 
@@ -97,7 +97,16 @@ def p2_day_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("provider", "day_set", F.col("pct").cast("int").alias("pct"), "n_rows", F.col("value").alias("duration_ms"))
 
 
-QUERIES |= {"p2_found": p2_found, "p2_percentiles": p2_percentiles, "p2_day_sets": p2_day_sets}
+def p2_error_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the added ladders of all days give each provider's percentiles within half a percent of the exact ones."""
+    values = usable_durations(table(spark, sf_dir, "query_logs"))
+    near = percentiles_of_ladders(ladder(values, ["provider", "log_day"]), ["provider"], [50, 90, 95, 99]).select("provider", "pct", F.col("value").alias("near"))
+    exact = percentiles_by_bisection(values, ["provider"], [50, 90, 95, 99])
+    kept = F.abs(F.col("near") / F.col("value") - 1) <= 0.005 + 1e-9
+    return exact.join(near, ["provider", "pct"]).select("provider", F.col("pct").cast("int").alias("pct"), "n_rows", F.col("value").alias("duration_ms"), kept.alias("error_kept"))
+
+
+QUERIES |= {"p2_error_kept": p2_error_kept, "p2_found": p2_found, "p2_percentiles": p2_percentiles, "p2_day_sets": p2_day_sets}
 
 DURATIONS = """
 WITH kept AS (
@@ -119,6 +128,10 @@ SELECT provider, log_day, pct FROM hit
 WHERE n_rows >= 30 AND (pct = 50 AND duration_ms > 2500 OR pct = 95 AND duration_ms > 9000 OR pct = 99 AND duration_ms > 25000 AND n_rows >= 300)
 """
 
+ORACLES["p2_error_kept"] = DURATIONS.split(", wanted AS")[0].replace("PARTITION BY provider, log_day", "PARTITION BY provider") + """
+SELECT provider, pct::INT AS pct, n_rows, duration_ms, true AS error_kept FROM ranked, (SELECT unnest([50, 90, 95, 99]) AS pct) WHERE n = ceil(pct * n_rows / 100.0)
+"""
+
 #: The vocabulary that sizes are counted in; any file of ranks of this kind will do.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -176,7 +189,22 @@ def p8_text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_statistics(_wide(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES |= {"p8_found": p8_found, "p8_text_statistics": p8_text_statistics}
+def p8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics alone, to four places, as SQL can count them too."""
+    ratios = [F.round(c, 4).alias(c) for c in ("mean_word_length", "symbol_ratio", "punct_line_share", "common_word_share")]
+    return p8_text_statistics(spark, sf_dir).select("doc_id", "n_chars", "n_words", *ratios)
+
+
+QUERIES |= {"p8_found": p8_found, "p8_text_statistics": p8_text_statistics, "p8_counts": p8_counts}
+
+BLANK = r"\s\x0B\x1C-\x1F\x{85}\p{Z}"
+ORACLES["p8_counts"] = rf"""
+WITH t AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+(?:[''’-][\p{{L}}\p{{N}}]+)*') AS ws, list_filter(list_transform(string_split(text, chr(10)), lambda l: regexp_replace(l, '[{BLANK}]+$', '')), lambda l: l <> '') AS ls,
+  length(regexp_replace(text, '[\p{{L}}\p{{N}}{BLANK}]', '', 'g')) AS n_symbols FROM t)
+SELECT doc_id, length(text) AS n_chars, len(ws) AS n_words, round(coalesce(list_sum(list_transform(ws, lambda x: length(x))) / nullif(len(ws), 0)::DOUBLE, 0), 4) AS mean_word_length,
+  round(coalesce(n_symbols / nullif(length(text), 0)::DOUBLE, 0), 4) AS symbol_ratio, round(coalesce(len(list_filter(ls, lambda l: contains('.!?…:;。！？"''”“’»)', right(l, 1)))) / nullif(len(ls), 0)::DOUBLE, 0), 4) AS punct_line_share,
+  round(coalesce(len(list_filter(ws, lambda x: x IN ({", ".join(f"'{c}'" for c in sorted(COMMON))}))) / nullif(len(ws), 0)::DOUBLE, 0), 4) AS common_word_share FROM w"""
 
 
 def _free_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
