@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from corpusflow.llm.pairs import FUNCTION
+from corpusflow.session import checkpointed
 
 CHUNK = 16_384
 KINDS = ("prose", "list", "table", "junk")
@@ -236,16 +237,22 @@ def _counted(pieces: DataFrame, with_forms: bool = True) -> DataFrame:
     return pieces.mapInPandas(count, "doc_id long, text_key long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
-def _forms(texts: DataFrame) -> DataFrame:
-    """Rows like those of ``_counted`` with the forms of whole texts and no other counts."""
+def _scanned(texts: DataFrame) -> DataFrame:
+    """Each text once: the counts of one of up to ``CHUNK`` characters; of a longer one its forms, which aren't additive, and the text itself."""
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            forms = [form_of(t) for t in batch["text"]]
-            counts = pd.DataFrame([[f.get(c.removesuffix("_chars"), 0) for c in COUNTS] for f in forms], columns=list(COUNTS), dtype="int64")
+            rows = []
+            for text in batch["text"]:
+                if len(text) <= CHUNK:
+                    rows.append((*count_chunk(text), None))
+                else:
+                    forms = form_of(text)
+                    rows.append((*(forms.get(c.removesuffix("_chars"), 0) for c in COUNTS), text))
+            counts = pd.DataFrame(rows, columns=[*COUNTS, "text"]).astype({c: "int64" for c in COUNTS})
             yield pd.concat([batch[["doc_id", "text_key"]].reset_index(drop=True), counts], axis=1)
 
-    return texts.mapInPandas(judge, "doc_id long, text_key long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return texts.mapInPandas(scan, "doc_id long, text_key long, " + ", ".join(f"{c} long" for c in COUNTS) + ", text string")
 
 
 def text_statistics(documents: DataFrame) -> DataFrame:
@@ -256,13 +263,14 @@ def text_statistics(documents: DataFrame) -> DataFrame:
     go to prose, then list, then table. Only ``doc_id`` and ``text`` are used. A null doc_id is kept as it is.
     """
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    no = F.lit(False)
-    short = texts.where(F.length("text") <= CHUNK).select("doc_id", "text_key", "text", no.alias("cut_start"), no.alias("cut_end"), F.lit("").alias("before"), no.alias("open_line"))
-    long = texts.where(F.length("text") > CHUNK)
+    # Kept, as long texts are gone through again: counts and a few long texts.
+    scanned = checkpointed(_scanned(texts))
+    long = scanned.where(F.col("text").isNotNull())
     pieces = long.select("doc_id", "text_key", F.posexplode(_split("text")).alias("piece_no", "piece")).select("doc_id", "text_key", "piece_no", "piece.*")
     spread = pieces.repartition("doc_id", "piece_no").drop("piece_no")
-    merged = _counted(spread, with_forms=False).unionByName(_forms(long.select("doc_id", "text_key", "text"))).groupBy("doc_id", "text_key").agg(*[F.sum(c).alias(c) for c in COUNTS])
-    sums = _counted(short).unionByName(merged)
+    columns = ["doc_id", "text_key", *COUNTS]
+    merged = _counted(spread, with_forms=False).unionByName(long.select(*columns)).groupBy("doc_id", "text_key").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    sums = scanned.where(F.col("text").isNull()).select(*columns).unionByName(merged)
     share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     most = F.greatest(*[F.col(f"{k}_chars") for k in KINDS])
     kind = F.when(most == 0, "junk")
