@@ -170,7 +170,7 @@ def test_upsert_stream_keeps_the_latest(spark, tmp_path):
     E.upsert_stream(stream(), str(store), str(tmp_path / "checkpoint"))
     spark.createDataFrame([("a", t + dt.timedelta(1), 2), ("b", t - dt.timedelta(1), 0), ("c", t, 5)], schema).coalesce(1).write.parquet(f"{source}/2")
     E.upsert_stream(stream(), str(store), str(tmp_path / "checkpoint"))
-    rows = spark.read.parquet(f"{store}/version=1").collect()
+    rows = E.read_store(spark, str(store)).collect()
     assert sorted((r["id"], r["v"]) for r in rows) == [("a", 2), ("b", 1), ("c", 5)]
 
 
