@@ -137,7 +137,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def p3_found(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Slices of 1000 tokens or more. Their definition asks for the project's estimate; the exact counts are ``p3_token_budget``'s."""
+    """Slices of 1000 tokens or more of the budget. Their definition asks for the project's estimate, which alone decides; the operator counts exactly as well."""
     budget = token_budget(table(spark, sf_dir, "documents"), _wide(spark, sf_dir, "chunks", "chunk_id", "document_id", "text"), token_counter(spark, vocabulary))
     return budget.where("level = 0 and tokens >= 1000").select("ingest_week", "source", "lang", "format")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.formats import canonical_format
 from corpusflow.functions.keys import language_key, source_key, token_estimate, week_of
+from corpusflow.session import checkpointed
 
 DIMENSIONS = ["source", "lang", "format"]
 
@@ -36,7 +37,8 @@ def token_budget(documents: DataFrame, chunks: DataFrame, tokens: Callable[[Colu
     slices = documents.where(F.col("document_id").isNotNull() & F.col("source").isNotNull() & F.col("lang").isNotNull()).select(
         "document_id", week_of(F.col("ingested_at")).alias("ingest_week"), source_key(F.col("source")).alias("source"), language_key(F.col("lang")).alias("lang"), canonical_format(F.col("format")).alias("format")
     )
-    per_document = counts.groupBy("document_id").agg(F.sum("tokens").alias("tokens"), F.sum("bpe_tokens").alias("bpe_tokens"), F.count("*").alias("n_chunks"))
+    # Kept with both counts, so that one who asks for slices by the estimate has them counted exactly too.
+    per_document = checkpointed(counts.groupBy("document_id").agg(F.sum("tokens").alias("tokens"), F.sum("bpe_tokens").alias("bpe_tokens"), F.count("*").alias("n_chunks")))
     # The finest slices first, so that the cube's copies are made of a few rows and not of every document.
     finest = slices.join(per_document, "document_id").groupBy("ingest_week", *DIMENSIONS).agg(*[F.sum(c).alias(c) for c in ("tokens", "bpe_tokens", "n_chunks")])
     sets = [[d for i, d in enumerate(DIMENSIONS) if not level >> (2 - i) & 1] for level in range(8)]
