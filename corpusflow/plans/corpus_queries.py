@@ -274,6 +274,14 @@ def parsed_files(t: Tables) -> DataFrame:
     return parsed.join(root, ["id", "format"], "left").withColumnRenamed("id", "doc_id")
 
 
+@query(r"""WITH c AS (SELECT doc_id AS id, text, format, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '\r\n?', chr(10), 'g'), '[ \t]{2,}', ' ', 'g'), '[ \t]+(\n|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS clean FROM documents WHERE text IS NOT NULL)
+SELECT id, substr(sha1(text), 1, 16) AS document_id, strlen(text) AS file_size, length(clean) AS char_count, len(list_filter(regexp_split_to_array(clean, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) AS word_count, greatest(1, length(clean) // 4) AS token_estimate, NULL::VARCHAR AS error FROM c""")
+def ingested_files(t: Tables) -> DataFrame:
+    """The documents taken in as text files: their keys, sizes and counts."""
+    files = t.wide("documents", "doc_id", "text").where("text is not null").select(F.col("doc_id").alias("id"), F.encode("text", "utf-8").alias("content"), F.lit("text").alias("format"))
+    return P.ingest(files).select("id", "document_id", F.col("file_size").cast("long").alias("file_size"), F.col("char_count").cast("long").alias("char_count"), F.col("word_count").cast("long").alias("word_count"), "token_estimate", "error")
+
+
 @query("SELECT regexp_replace(regexp_replace(lower(source), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug, count(*) AS n_docs FROM documents WHERE source IS NOT NULL GROUP BY 1")
 def source_slugs(t: Tables) -> DataFrame:
     """Documents by slug of their source."""

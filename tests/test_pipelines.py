@@ -3,13 +3,16 @@
 import datetime as dt
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from corpusflow.functions import values as U
+from corpusflow.functions.keys import week_of
 from corpusflow.functions.text import decompose, slug
 from corpusflow.operators import analytics as A
 from corpusflow.operators import graph as G
 from corpusflow.operators import ranking as R
+from corpusflow.operators import rerank as K
 from corpusflow.operators import search as S
 from corpusflow.operators import store as V
 from corpusflow.operators.chunking import by_structure
@@ -133,3 +136,37 @@ def test_wide_rows_are_not_broadcast(spark):
     narrow, wide = spark.range(100).selectExpr("id"), spark.range(100).selectExpr("id", "repeat('x', 1000000) as t", "array(id) as a")
     plan = lambda d: spark.range(1000).join(broadcast_if_small(d), "id")._jdf.queryExecution().analyzed().toString()
     assert "broadcast" in plan(narrow) and "broadcast" not in plan(wide)
+
+
+def test_mmr_against_picking_by_hand(spark):
+    rng = np.random.default_rng(4)
+    vectors = {f"d{i}": (lambda v: v / np.linalg.norm(v))(rng.standard_normal(6)) for i in range(9)}
+    asked = (lambda v: v / np.linalg.norm(v))(rng.standard_normal(6))
+    hits = spark.createDataFrame([("q", i, n + 1, 1.0, "clash") for n, i in enumerate(vectors)], "query_id string, id string, rank int, score double, vector_of string")
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "id string, vector array<double>")
+    picked, left = [], list(vectors)
+    while left:
+        worth = {i: 0.5 * vectors[i] @ asked - 0.5 * max((vectors[i] @ vectors[p] for p in picked), default=0.0) for i in left}
+        best = max(left, key=lambda i: (round(worth[i], 9), -int(i[1:])))
+        picked.append(best)
+        left.remove(best)
+    out = K.mmr(hits, rows, spark.createDataFrame([("q", asked.tolist())], "id string, vector array<double>")).orderBy("mmr_rank").collect()
+    assert [r["id"] for r in out] == picked
+
+
+def test_relations_of_each_text(spark):
+    texts = spark.createDataFrame([(1, "Anna Berg works at Orvane Ltd. Talvex Inc acquired Orvane Ltd."), (2, "Anna Berg works for Orvane Ltd."), (3, "Nobody works here."), (4, None)], "id long, text string")
+    known = texts.where("text is not null")
+    found = {(r["subject_id"], r["predicate"], r["object_id"]): r["n_docs"] for r in G.relations(known, G.mentions(known)).collect()}
+    assert found == {("PERSON:anna_berg", "works_at", "ORGANIZATION:orvane_ltd"): 2, ("ORGANIZATION:talvex_inc", "acquired", "ORGANIZATION:orvane_ltd"): 1}
+
+
+def test_weeks_are_utc_in_any_session(spark):
+    rows = spark.createDataFrame([("2025-10-06T00:30:00Z",), ("2025-10-05T23:30:00Z",), (None,)], "t string").select(F.col("t").cast("timestamp").alias("t"))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for other in ("UTC", "Europe/Berlin", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", other)
+            assert [r["w"] for r in rows.select(week_of(F.col("t")).alias("w")).collect()] == ["2025-10-06", "2025-09-29", None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
