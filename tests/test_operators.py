@@ -41,6 +41,29 @@ def test_bm25_by_hand(spark):
     assert [tuple(r) for r in S.search_texts(asked, docs(spark), 10).orderBy("rank").collect()] == [tuple(r) for r in found]
 
 
+def test_bm25_blocks(spark, monkeypatch):
+    """Many texts and queries over several blocks: as a ready index has it, and without shuffling every pair."""
+    monkeypatch.setattr(S, "TEXTS", 128, raising=False)
+    monkeypatch.setattr(S, "ASKED", 50, raising=False)
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(30)]
+    said = [(i, " ".join(["all", *rng.choice(words, rng.integers(0, 12))]) if i % 7 else None) for i in range(1500)]
+    texts = spark.createDataFrame(said, "id long, text string").repartition(3)
+    asked = spark.createDataFrame([(f"q{i}", ["all", *rng.choice(words, 3).tolist(), "absent"]) for i in range(150)] + [("none", ["absent"]), ("empty", [])], "query_id string, terms array<string>")
+    wanted = S.bm25(asked, S.postings(texts), 7).select("query_id", "id", "score", "rank").collect()
+    spark.sparkContext.setJobGroup("blocks", "blocks")
+    found = S.search_texts(asked, texts, 7).select("query_id", "id", "score", "rank").collect()
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext._jsc.clearJobGroup()
+    stages = {s for job in tracker.getJobIdsForGroup("blocks") for s in tracker.getJobInfo(job).stageIds}
+    assert sorted(map(tuple, found)) == sorted(map(tuple, wanted)) and len(found) == 1050
+    assert sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages) < 1500 * 150 / 10
+    assert S.search_texts(asked, texts.where("false"), 7).count() == 0
+    assert S.search_texts(asked.where("false"), texts, 7).count() == 0
+    monkeypatch.setattr(S, "TERMS", 5, raising=False)
+    assert sorted(map(tuple, S.search_texts(asked, texts, 7).select("query_id", "id", "score", "rank").collect())) == sorted(map(tuple, wanted))
+
+
 def test_hashed_vectors_agree(spark):
     sparse = {(r["id"], r["idx"]): r["value"] for r in S.hashed_terms(docs(spark)).collect()}
     for r in S.hashed_vectors(docs(spark)).collect():
