@@ -64,6 +64,22 @@ def test_bm25_blocks(spark, monkeypatch):
     assert sorted(map(tuple, S.search_texts(asked, texts, 7).select("query_id", "id", "score", "rank").collect())) == sorted(map(tuple, wanted))
 
 
+def test_repeated_blocks(spark, monkeypatch):
+    """Blocks whose texts and vectors are the same and whose ids differ follow each other in one task."""
+    monkeypatch.setattr(S, "TEXTS", 2)
+    monkeypatch.setattr(S, "BLOCK", 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        texts = spark.createDataFrame([(i, f"same{' cat' * (i % 2)}") for i in range(8)], "id long, text string").coalesce(1)
+        asked = spark.createDataFrame([(1, ["cat"]), (2, ["same"])], "query_id long, terms array<string>")
+        assert [r["id"] for r in S.search_texts(asked, texts, 3).where("query_id = 1").orderBy("rank").collect()] == [1, 3, 5]
+        vectors = texts.select("id", F.array(F.lit(1.0), (F.col("id") % 2).cast("double")).alias("vector")).coalesce(1)
+        found = S.cosine_top_k(vectors.where("id < 3"), vectors, 3).orderBy("query_id", "rank").collect()
+        assert [r["id"] for r in found] == ["0", "2", "4", "1", "3", "5", "0", "2", "4"]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_hashed_vectors_agree(spark):
     sparse = {(r["id"], r["idx"]): r["value"] for r in S.hashed_terms(docs(spark)).collect()}
     for r in S.hashed_vectors(docs(spark)).collect():
