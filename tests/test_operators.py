@@ -64,6 +64,28 @@ def test_bm25_blocks(spark, monkeypatch):
     assert sorted(map(tuple, S.search_texts(asked, texts, 7).select("query_id", "id", "score", "rank").collect())) == sorted(map(tuple, wanted))
 
 
+def test_entity_words_of_most_texts(spark, monkeypatch):
+    """A word that most texts have joins no pairs of queries and texts; shares are those counted one by one."""
+    rng = np.random.default_rng(5)
+    said = [(i, " ".join(["The", *rng.choice(["rome", "oslo", "cairo", "lima"], i % 4)]) if i % 9 else None) for i in range(1200)]
+    texts = spark.createDataFrame(said, "id long, text string").repartition(3)
+    named = [(f"q{i}", ["The", *rng.choice(["Rome", "Oslo", "Quito"], i % 5).tolist()]) for i in range(60)] + [("none", []), ("null", None), ("hole", ["Rome", None])]
+    asked = spark.createDataFrame(named, "query_id string, entities array<string>")
+    wanted = []
+    for query, entities in named:
+        shares = [(-round(sum(e.lower() in (text or "").lower().split() for e in entities if e) / len(entities), 6), i) for i, text in said] if entities else []
+        wanted += [(query, i, -share, n + 1) for n, (share, i) in enumerate(sorted(s for s in shares if s[0])[:5])]
+    spark.sparkContext.setJobGroup("words", "words")
+    found = S.entity_word_search(asked, texts, 5).select("query_id", "id", "score", "rank").collect()
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext._jsc.clearJobGroup()
+    stages = {s for job in tracker.getJobIdsForGroup("words") for s in tracker.getJobInfo(job).stageIds}
+    assert sorted(map(tuple, found)) == sorted(wanted) and len(found) == 305
+    assert sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages) < 1200 * 60 / 10
+    monkeypatch.setattr(S, "TERMS", 1, raising=False)
+    assert sorted(map(tuple, S.entity_word_search(asked, texts, 5).select("query_id", "id", "score", "rank").collect())) == sorted(wanted)
+
+
 def test_repeated_blocks(spark, monkeypatch):
     """Blocks whose texts and vectors are the same and whose ids differ follow each other in one task."""
     monkeypatch.setattr(S, "TEXTS", 2)
